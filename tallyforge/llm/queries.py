@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name: module and function.
 _WHERE = {
     "op2_substring_dedup": ("substring_dedup", "op2"),
+    "op10_simhash_near_dedup": ("simhash_dedup", "op10"),
     "op7_suffix_array_dedup": ("suffix_dedup", "op7"),
 }
 _SQL = {"op2_substring_dedup": ("substring_dedup", "OP2_SQL")}
