@@ -6,11 +6,15 @@ from importlib import import_module
 
 #: Query name: module and function.
 _WHERE = {
+    "op1_benchmark_decontamination": ("decontamination", "op1"),
     "op2_substring_dedup": ("substring_dedup", "op2"),
     "op10_simhash_near_dedup": ("simhash_dedup", "op10"),
     "op7_suffix_array_dedup": ("suffix_dedup", "op7"),
 }
-_SQL = {"op2_substring_dedup": ("substring_dedup", "OP2_SQL")}
+_SQL = {
+    "op1_benchmark_decontamination": ("decontamination", "OP1_SQL"),
+    "op2_substring_dedup": ("substring_dedup", "OP2_SQL"),
+}
 
 
 def _get(module: str, name: str):
