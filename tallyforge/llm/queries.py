@@ -9,6 +9,7 @@ _WHERE = {
     "op1_benchmark_decontamination": ("decontamination", "op1"),
     "op2_substring_dedup": ("substring_dedup", "op2"),
     "op10_simhash_near_dedup": ("simhash_dedup", "op10"),
+    "op5_token_output": ("token_file", "op5"),
     "op7_suffix_array_dedup": ("suffix_dedup", "op7"),
 }
 _SQL = {
