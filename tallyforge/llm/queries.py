@@ -10,6 +10,7 @@ _WHERE = {
     "op2_substring_dedup": ("substring_dedup", "op2"),
     "op10_simhash_near_dedup": ("simhash_dedup", "op10"),
     "op5_token_output": ("token_file", "op5"),
+    "op9_secret_scan": ("secret_scan", "op9"),
     "op7_suffix_array_dedup": ("suffix_dedup", "op7"),
 }
 _SQL = {
