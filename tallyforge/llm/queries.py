@@ -9,6 +9,8 @@ _WHERE = {
     "op1_benchmark_decontamination": ("decontamination", "op1"),
     "op2_substring_dedup": ("substring_dedup", "op2"),
     "op10_simhash_near_dedup": ("simhash_dedup", "op10"),
+    "op3_url_filter": ("url_filter", "op3"),
+    "op4_nearest_neighbours": ("vector_search", "op4"),
     "op5_token_output": ("token_file", "op5"),
     "op9_secret_scan": ("secret_scan", "op9"),
     "op7_suffix_array_dedup": ("suffix_dedup", "op7"),
