@@ -12,6 +12,7 @@ _WHERE = {
     "op3_url_filter": ("url_filter", "op3"),
     "op4_nearest_neighbours": ("vector_search", "op4"),
     "op5_token_output": ("token_file", "op5"),
+    "op8_source_mixing": ("mixing", "op8"),
     "op9_secret_scan": ("secret_scan", "op9"),
     "op6_quality_classifier": ("quality", "op6"),
     "op7_suffix_array_dedup": ("suffix_dedup", "op7"),
