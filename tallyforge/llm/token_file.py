@@ -13,6 +13,7 @@ v + i of a bit vector. select(i), the place of the i-th 1, gives the value back:
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -29,8 +30,12 @@ from tallyforge.llm.store import shared_folder
 
 MAGIC, HEAD = b"TFEF", struct.Struct("<4sBBBBII")
 #: Id appended to each document, ids that close a segment, and words whose ids a worker keeps.
-END, SEGMENT_IDS, CACHE = 1, 1 << 22, 400_000
+END, SEGMENT_IDS, CACHE = 1, 1 << 22, 250_000
 
+#: Letters whose case and composed form are plain: all normalisers agree on them.
+PLAIN = "abcdefghijklmnopqrstuvwxyzàáâäæçèéêëìíîïñòóôöùúûüß"
+#: A plain word, perhaps capital, with marks that no contraction or special token has.
+_SIMPLE = re.compile(f"([(\\[\"*|]*)([{PLAIN}{PLAIN.replace('ß', '').upper()}]+)([.,;:!?)\\]\"*$%&#|]*)\\Z")
 #: White space for str.split() but not for tokenizers' regular expressions; texts with any are encoded whole.
 _SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
 
@@ -98,38 +103,92 @@ def opened(raw: bytes) -> tuple[np.ndarray, np.ndarray, EliasFano]:
     return ids, doc_ids, EliasFano(docs, bits, low, np.frombuffer(raw, np.uint8, offset=at + len(low)))
 
 
+class Pieces(dict):
+    """The ids of a text's pieces (its runs without white space), as bytes; a piece is encoded when it is first asked for.
+
+    Two generations of at most ``room`` pieces each are kept, so frequent pieces stay. The ids of words within pieces
+    are kept in the same way. Pieces of PLAIN letters, with marks around them at most, go to the tokenizer's model
+    directly, in the form that its normaliser and pre-tokenizer give them; all others go through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer, dtype: str, room: int):
+        super().__init__()
+        self.tokenizer, self.dtype, self.room, self.old, self.words = tokenizer, dtype, room, {}, {}
+        self.bytes_of = self._byte_letters()
+
+    def _byte_letters(self) -> dict[int, str] | None:
+        """Each plain letter as the pre-tokenizer writes it; None if the tokenizer isn't of the kind that this fits."""
+        steps = self.tokenizer.pre_tokenizer
+        table = {}
+        for c in PLAIN:
+            got = steps.pre_tokenize_str(c) if steps else []
+            if len(got) != 1:
+                return None
+            table[ord(c)] = got[0][0]
+        self.bytes_of = table
+        for probe in ("étéß", "strassen", "Über,", "(Niño)", "a!!", "zz***", "\"word\"", "x", "THE.", "ÀB;"):
+            if self._fast(probe) != self._slow(probe):
+                return None
+        return table
+
+    def _slow(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) >= self.room:
+                self.words.clear()
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.translate(self.bytes_of))]
+            got = self.words[word] = np.array(ids, self.dtype).tobytes()
+        return got
+
+    def _fast(self, piece: str) -> bytes | None:
+        m = _SIMPLE.match(piece)
+        if not m:
+            return None
+        before, word, after = m.groups()
+        return (self._marks(before) if before else b"") + self._word(word.lower()) + (self._marks(after) if after else b"")
+
+    def _marks(self, marks: str) -> bytes:
+        got = self.words.get(marks)
+        if got is None:
+            got = self.words[marks] = self._slow(marks)
+        return got
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = (self._fast(piece) if self.bytes_of else None) or self._slow(piece)
+        if len(self) >= self.room:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = got
+        return got
+
+
 class Encoder:
     """Ids of texts by a tokenizer that drops white space: the ids of a text are those of its pieces, one by one.
 
-    Each distinct piece is encoded once while it stays in the cache. Where the tokenizer's file doesn't drop white space
-    (or a piece could hold a space for it that split() doesn't know), texts are encoded whole.
+    Where the tokenizer keeps white space (or a text has some that only split() takes for it), texts are encoded whole.
     """
 
     def __init__(self, path: str, width: int, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype, self.cache, self.known = f"<u{width}", cache, {}
+        self.pieces = Pieces(self.tokenizer, f"<u{width}", cache)
         self.by_piece = self._drops_space()
 
     def _drops_space(self) -> bool:
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         probe = ["a b", "a  b\n\tc", "1 2", ". .", "é è", "a 's", "' s"]
-        return all(self._ids(x) == sum((self._ids(p) for p in x.split()), []) for x in probe)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return all(ids(x) == sum((ids(p) for p in x.split()), []) for x in probe)
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(c in text for c in _SPLIT_ONLY):
-            return np.array(self._ids(text), self.dtype).tobytes()
-        pieces = text.split()
-        if new := {*pieces} - self.known.keys():
-            if len(self.known) + len(new) > self.cache:
-                self.known.clear()
-                new = {*pieces}
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast([*new], add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, self.dtype).tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+            return self.pieces._slow(text)
+        return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = END, segment_ids: int = SEGMENT_IDS) -> None:
