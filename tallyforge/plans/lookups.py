@@ -146,20 +146,20 @@ def bm25_topk(spark, sf_dir: str) -> DataFrame:
 
 def cosine_topk(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    asked = rows.where("vec_id < 40").select(F.col("vec_id").alias("query"), "v")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "v")
     return search.ranked(search.cosine(rows, asked, "vec_id", "query"), "query", "vec_id", 5, 4)
 
 
 def rrf_hybrid(spark, sf_dir: str) -> DataFrame:
     lexical = bm25_topk(spark, sf_dir)
-    near = cosine_topk(spark, sf_dir).select("query", F.col("vec_id").alias("doc_id"), "rank")
+    near = cosine_topk(spark, sf_dir).select(F.expr("query div 50").alias("query"), F.col("vec_id").alias("doc_id"), "rank")
     return search.ranked(search.fused([lexical, near], "query", "doc_id"), "query", "doc_id", 5, 9)
 
 
 def code_gap(spark, sf_dir: str) -> DataFrame:
     """Codes cited by claims against codes ingested, by outcome."""
     cited = table(spark, sf_dir, "supplier").select(normalise.code_key(F.concat(F.lit("ND "), F.col("s_nationkey").cast("string"), F.lit(".E"))).alias("code"))
-    known = table(spark, sf_dir, "customer").where("c_custkey % 40 < 3").select(normalise.code_key(F.concat(F.lit("nd-"), F.col("c_nationkey").cast("string"))).alias("code"))
+    known = table(spark, sf_dir, "customer").where("c_acctbal < -900").select(normalise.code_key(F.concat(F.lit("nd-"), F.col("c_nationkey").cast("string"))).alias("code"))
     both = cited.groupBy("code").agg(F.count("*").alias("n_cited")).join(known.groupBy("code").agg(F.count("*").alias("n_known")), "code", "full")
     outcome = F.when(F.col("n_cited").isNull(), "ingested_only").when(F.col("n_known").isNull(), "cited_only").otherwise("matched")
     return both.select("code", F.coalesce("n_cited", F.lit(0)).alias("n_cited"), F.coalesce("n_known", F.lit(0)).alias("n_known"), outcome.alias("outcome"))
@@ -176,7 +176,7 @@ def drawing_coverage(spark, sf_dir: str) -> DataFrame:
 
 def mirrored(spark, sf_dir: str) -> DataFrame:
     """Every second text mirrored line by line, then repaired where two reversed marks show."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     turned = F.when(F.col("doc_id") % 2 == 0, F.array_join(F.transform(F.split("text", "\n"), F.reverse), "\n")).otherwise(F.col("text"))
     fixed = normalise.unmirrored(turned, [" with ", " from "])
     return docs.select("doc_id", (fixed == F.col("text")).alias("restored"))
@@ -230,7 +230,7 @@ _BM25 = f"""d AS (SELECT doc_id, {_TOKENS} AS ts FROM (SELECT doc_id, lower(text
   s AS (SELECT query, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (1 + 0.1 * (qf - 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS score FROM t JOIN f USING (term) JOIN q USING (term), a GROUP BY ALL),
   lex AS (SELECT query, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5)"""
 _COS = """u AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum([x * x FOR x IN embedding::DOUBLE[]])) AS norm FROM embeddings),
-  c AS (SELECT a.vec_id AS query, b.vec_id, round(list_inner_product(a.v, b.v) / (a.norm * b.norm), 4) AS score FROM u a, u b WHERE a.vec_id < 40 AND a.norm > 0 AND b.norm > 0),
+  c AS (SELECT a.vec_id AS query, b.vec_id, round(list_inner_product(a.v, b.v) / (a.norm * b.norm), 4) AS score FROM u a, u b WHERE a.vec_id % 50 = 0 AND a.norm > 0 AND b.norm > 0),
   near AS (SELECT query, vec_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INT) AS rank FROM c QUALIFY rank <= 5)"""
 
 SQL = {
@@ -250,7 +250,7 @@ SQL = {
       SELECT o_custkey, coalesce(cited_id, set_id) AS set_id, CASE WHEN tok IS NOT NULL AND cited_id IS NULL THEN concat('not loaded: C', tok) ELSE '' END AS flag FROM b LEFT JOIN m USING (o_custkey, tok)""",
     "q12_supersede_chain": "SELECT user_id, event_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS open_micros FROM events WHERE event_type = 'signup'",
     "q13_latest_per_type": "SELECT o_custkey, o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) = 1",
-    "q28_code_gap": """WITH c AS (SELECT concat('ND', s_nationkey) AS code, count(*) AS n_cited FROM supplier GROUP BY 1), k AS (SELECT concat('ND', c_nationkey) AS code, count(*) AS n_known FROM customer WHERE c_custkey % 40 < 3 GROUP BY 1)
+    "q28_code_gap": """WITH c AS (SELECT concat('ND', s_nationkey) AS code, count(*) AS n_cited FROM supplier GROUP BY 1), k AS (SELECT concat('ND', c_nationkey) AS code, count(*) AS n_known FROM customer WHERE c_acctbal < -900 GROUP BY 1)
       SELECT code, coalesce(n_cited, 0) AS n_cited, coalesce(n_known, 0) AS n_known, CASE WHEN n_cited IS NULL THEN 'ingested_only' WHEN n_known IS NULL THEN 'cited_only' ELSE 'matched' END AS outcome FROM c FULL JOIN k USING (code)""",
     "q29_drawing_coverage": f"WITH {LINES_SQL} SELECT concat('D.', l_partkey) AS body, count(*) AS n, bool_or(l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)) AS indexed FROM lines WHERE side = 'O' GROUP BY l_partkey",
     "q35_notation_expand": """WITH r AS (SELECT l_linenumber AS a, l_linenumber + CAST(l_quantity AS INT) % 5 AS b FROM lineitem), c AS (SELECT concat('FW', lpad(CAST(a AS VARCHAR), 2, '0'), '÷', lpad(CAST(b AS VARCHAR), 2, '0')) AS cell, a, b FROM r)
@@ -267,7 +267,7 @@ SQL = {
     "q43_chunks_overlap": "WITH c AS (SELECT doc_id, text, unnest([s FOR s IN range(0, length(text), 1000) IF s = 0 OR s + 200 < length(text)]) AS start FROM documents) SELECT doc_id, CAST(start AS INT) AS start, md5(substr(text, start + 1, 1200)) AS digest FROM c",
     "q44_bm25_topk": f"WITH {_BM25} SELECT query, doc_id, score, rank FROM lex",
     "q45_cosine_topk": f"WITH {_COS} SELECT query, vec_id, score, rank FROM near",
-    "q46_rrf_hybrid": f"""WITH {_BM25}, {_COS}, x AS (SELECT query, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query, doc_id, rank FROM lex UNION ALL SELECT query, vec_id, rank FROM near) GROUP BY ALL)
+    "q46_rrf_hybrid": f"""WITH {_BM25}, {_COS}, x AS (SELECT query, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query, doc_id, rank FROM lex UNION ALL SELECT query // 50, vec_id, rank FROM near) GROUP BY ALL)
       SELECT query, doc_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INT) AS rank FROM x QUALIFY rank <= 5""",
     "q57_trailing_hour_calls": "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING) AS prior FROM events",
     "q58_sessions": """WITH s AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 43200000000, true) AS b FROM events), t AS (SELECT *, CAST(sum(CAST(b AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session FROM s)
@@ -275,7 +275,7 @@ SQL = {
     "q59_progress_eta": """WITH e AS (SELECT user_id, date_trunc('second', ts) AS ts, event_id FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done FROM e),
       d AS (SELECT user_id, ts, CAST(max(done) AS INT) AS done FROM n GROUP BY ALL), f AS (SELECT *, epoch(ts) - epoch(first(ts) OVER w) AS spent, done - first(done) OVER w AS made FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts))
       SELECT user_id, done, CASE WHEN made > 0 THEN round((100 - done) * spent / made, 6) END AS eta FROM f""",
-    "q62_mirrored_repair": r"""WITH d AS (SELECT doc_id, text, array_to_string([reverse(l) FOR l IN string_split(text, chr(10))], chr(10)) AS r FROM documents WHERE lang = 'en'), t AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN r ELSE text END AS x, CASE WHEN doc_id % 2 = 0 THEN text ELSE r END AS y FROM d)
+    "q62_mirrored_repair": r"""WITH d AS (SELECT doc_id, text, array_to_string([reverse(l) FOR l IN string_split(text, chr(10))], chr(10)) AS r FROM documents), t AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN r ELSE text END AS x, CASE WHEN doc_id % 2 = 0 THEN text ELSE r END AS y FROM d)
       SELECT doc_id, CASE WHEN contains(x, ' htiw ') AND contains(x, ' morf ') THEN y ELSE x END = text AS restored FROM t""",
     "q63_json_lenient": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "q64_cum_position_asof": """SELECT l_orderkey, CAST(row_number() OVER w AS INT) AS place, sum(CAST(l_quantity AS DECIMAL(18,2))) OVER (w ROWS UNBOUNDED PRECEDING) AS "end" FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)""",
