@@ -26,8 +26,8 @@ from tallyforge.llm.wordcodes import Words, buffer_of, mixed, rolling
 #: Buckets of words and of shapes; two more hold "a new word" and "the word before, again".
 WORDS, SHAPES = 1 << 18, 1 << 14
 SIZE = WORDS + SHAPES + 2
-#: Labelled texts on which the classifier is fitted at most, those of least hash among one of each group of near copies
-#: (so that the words of a much copied text don't pass for words of its label); share sampled; its seed.
+#: Labels by which the classifier is fitted: about so many at most, those of least hash, so few that they are broadcast;
+#: of near copies one each, so that the words of a much copied text don't pass for words of its label. Share sampled; its seed.
 FIT_ROWS, SHARE, SEED = 100_000, 0.5, 23
 #: A false rejection weighs as so many missed ones when limits are set; a word's ratio counts at so many deviations.
 WEIGHT, SURE = 3.0, 1.5
@@ -232,12 +232,14 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     kind = F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 0, 2).otherwise(1)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), kind.alias("kind"))
-    sketched = docs.join(labels, "doc_id").mapInArrow(_sketches, "doc_id long, kind int, h long, m0 long, m1 long, m2 long")
+    part = min(1.0, fit_rows / max(labels.count(), 1))
+    labels = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) <= int(part * (1 << 53)))
+    sketched = docs.join(F.broadcast(labels), "doc_id").mapInArrow(_sketches, "doc_id long, kind int, h long, m0 long, m1 long, m2 long")
     for m in ("m0", "m1", "m2"):
         sketched = sketched.groupBy("kind", m).agg(F.min(F.struct("h", "doc_id", "m0", "m1", "m2")).alias("s")).select("kind", *[F.col(f"s.{c}").alias(c) for c in ("h", "doc_id", "m0", "m1", "m2")])
-    fitted = cut(sketched.orderBy("h", "doc_id").limit(fit_rows).select("doc_id", "kind").distinct())
+    fitted = cut(sketched.groupBy("doc_id").agg(F.max("kind").alias("kind")))
     rows = docs.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    counts = rows.join(fitted, "doc_id", "left").select("text", "fold", F.coalesce("kind", F.lit(0)).alias("kind"))
+    counts = rows.join(F.broadcast(fitted), "doc_id", "left").select("text", "fold", F.coalesce("kind", F.lit(0)).alias("kind"))
     models = _summed(counts.mapInArrow(_counts, "model string, piece int, counts array<long>"))
     ratios = docs.sparkSession.sparkContext.broadcast(Ratios.of(models))
 
@@ -248,7 +250,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
 
     schema = "row long, doc_id long, log_weight double, low_score double, toxic_score double, other_score double"
     out = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "fold").mapInArrow(f, schema)
-    return cut(out.join(fitted, "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit(0))))
+    return cut(out.join(F.broadcast(fitted), "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit(0))))
 
 
 def judged(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = SEED, fit_rows: int = FIT_ROWS) -> DataFrame:
