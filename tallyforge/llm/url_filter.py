@@ -20,7 +20,7 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Labelled rows on which trees are fitted at most: those of least hash, so that the choice follows no order of rows.
+#: Labelled rows on which trees are fitted: about so many at most, those of least hash, whatever the order of rows.
 FIT_ROWS, SEED = 20_000, 17
 #: Suffixes up to which their statistics (three short columns) are broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 100_000
@@ -172,7 +172,7 @@ def judged(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS) -> DataFrame
     """page_id, host, path, rule, verdict, score for each row of pages (page_id, url).
 
     verdict is the rule's where one fits. Else it is the trees': block where their log-odds are above 0. They are fitted
-    on at most ``fit_rows`` of the rows that rules label, weighing both verdicts as they come. Without labelled rows all
+    on about ``fit_rows`` at most of the rows that rules label, weighing both verdicts as they come. Without labelled rows all
     others are allowed. Null urls and those without :// have empty host and path. Other columns are ignored.
     """
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"))
@@ -182,8 +182,9 @@ def judged(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS) -> DataFrame
     pages = pages.withColumn("rule", rule).withColumn("ruled", verdict)
     suffixes = cut(suffix_statistics(pages))
     rows = features(pages, F.broadcast(suffixes) if suffixes.count() <= BROADCAST_ROWS else suffixes)
-    labelled = rows.where("ruled IS NOT NULL").select(F.xxhash64(F.lit(SEED), "url").alias("h"), (F.col("ruled") == "block").cast("int").alias("y"), *FEATURES)
-    sample = labelled.orderBy("h", *FEATURES).limit(fit_rows).toPandas()
+    labelled = rows.where("ruled IS NOT NULL").select(F.xxhash64(F.lit(SEED), "url", "page_id").alias("h"), (F.col("ruled") == "block").cast("int").alias("y"), *FEATURES)
+    part = min(1.0, fit_rows / max(pages.where("ruled IS NOT NULL").count(), 1))
+    sample = labelled.where(F.shiftrightunsigned("h", 11) <= int(part * (1 << 53))).toPandas().sort_values(["h", *FEATURES])
     model = fit(sample[list(FEATURES)].to_numpy(float), sample["y"].to_numpy(float))
 
     @F.pandas_udf(T.DoubleType())
