@@ -171,3 +171,30 @@ def rule_strength(trigger: Column, quote: Column, verified: Column, confidence:
     said = F.trim(F.coalesce(context, F.lit(""))) == ""
     fits = said | F.exists(words, lambda w: F.contains(F.lower(context), F.lower(w)))
     return F.when(full & sure & ~F.coalesce(flagged, F.lit(True)) & fits, "strong").otherwise("weak")
+
+
+# What each state of the basis asks the reviewer to do.
+ACTIONS = {
+    "billed_ndt_not_in_requirements": "Reject the charge: no document asks for this inspection.",
+    "billed_ndt_basis_not_submitted": "Ask for the procedure document.",
+    "billed_ndt_basis_unclear": "Check the procedure document by hand.",
+    "billed_ndt_covered_by_scwep": "Confirm that the condition of the procedure applied.",
+}
+
+
+def action(names: Column, model_text: Column) -> Column:
+    """The action of the first finding on the basis; else the model's text."""
+    table = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    first = F.get(F.filter(names, lambda x: x.isin(*ACTIONS)), F.lit(0))
+    return F.coalesce(F.try_element_at(table, F.coalesce(first, F.lit(""))), model_text)
+
+
+def labels(required: Column, billed: Column) -> Column:
+    """struct(required, missing, extra) as text for the review sheet; a dash for none, (not read) for null."""
+    text = lambda x: F.coalesce(F.nullif(F.array_join(F.array_sort(x), ", "), F.lit("")), F.lit("-"))
+    unread = F.lit("(not read)")
+    return F.struct(
+        F.when(required.isNull(), unread).otherwise(text(required)).alias("required"),
+        F.when(required.isNull(), unread).otherwise(text(F.array_except(required, billed))).alias("missing"),
+        F.when(required.isNull(), unread).otherwise(text(F.array_except(billed, required))).alias("extra"),
+    )

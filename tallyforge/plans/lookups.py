@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions import notation, normalise
+from tallyforge.functions import headers, normalise, notation
 from tallyforge.operators import lookup, search, sequence
 from tallyforge.plans.roles import LINES_SQL, billing, table
 
@@ -188,7 +188,25 @@ def json_lenient(spark, sf_dir: str) -> DataFrame:
     return rows.select("event_id", normalise.lenient_json(text, "k long")["k"].alias("k"))
 
 
+def report_headers(spark, sf_dir: str) -> DataFrame:
+    """Headers written for each line with slips of a scanner, read back."""
+    line = F.format_string("Town No. 7l-%dO_x V\u041c\u0421 dated %s 10UMA", "l_linenumber", F.date_format("l_shipdate", "d.M.yyyy"))
+    good = F.format_string("Town o. 7l-%dO\u0423\u041c\u0421( datcd %s 10UMA", "l_linenumber", F.date_format("l_shipdate", "d.M.yyyy"))
+    rows = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") == 7, line).otherwise(good).alias("text"))
+    read = rows.select(headers.report_header(F.col("text")).alias("h"))
+    return read.groupBy(F.coalesce("h.report_no", F.lit("-")).alias("report_no"), F.coalesce("h.method", F.lit("-")).alias("method"), F.coalesce("h.day", F.lit("-")).alias("day")).agg(F.count("*").alias("n"))
+
+
+def drawing_files(spark, sf_dir: str) -> DataFrame:
+    """File names written for each part, classified."""
+    name = F.format_string("[AB] %d. NP.D.P%03d.%s.%04d.E_C%02d%s.pdf", "p_partkey", "p_size", F.element_at(F.array(F.lit("DC"), F.lit("SD"), F.lit("XX")), (F.col("p_size") % 3 + 1).cast("int")), F.col("p_partkey") % 10000, F.col("p_size") % 7, F.when(F.col("p_size") % 2 == 0, "_scan").otherwise(""))
+    rows = table(spark, sf_dir, "part").select("p_partkey", headers.drawing_file(name).alias("f"))
+    return rows.where("f IS NOT NULL").select("p_partkey", "f.drawing_no", "f.type", "f.seq", "f.revision", "f.scan")
+
+
 QUERIES = {
+    "q67_report_header": report_headers,
+    "q68_drawing_files": drawing_files,
     "q06_enrich_first_value": enrich_first,
     "q07_sheet_choice_most_rows": sheet_choice,
     "q08_ledger_explode_last_wins": ledger_explode,
@@ -234,6 +252,10 @@ _COS = """u AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum([x * x FO
   near AS (SELECT query, vec_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INT) AS rank FROM c QUALIFY rank <= 5)"""
 
 SQL = {
+    "q67_report_header": """SELECT CASE WHEN l_linenumber = 7 THEN '-' ELSE concat('71', l_linenumber, '0VMC') END AS report_no, CASE WHEN l_linenumber = 7 THEN '-' ELSE 'VT' END AS method,
+      CASE WHEN l_linenumber = 7 THEN '-' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS day, count(*) AS n FROM lineitem GROUP BY ALL""",
+    "q68_drawing_files": """SELECT p_partkey, concat('NP.D.P', lpad(CAST(p_size AS VARCHAR), 3, '0')) AS drawing_no, ['DC', 'SD'][p_size % 3 + 1] AS type, lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS seq,
+      concat('C0', p_size % 7) AS revision, p_size % 2 = 0 AS scan FROM part WHERE p_size % 3 < 2""",
     "q06_enrich_first_value": "SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)) AS first_part, count(DISTINCT l_partkey) > 1 AS conflict FROM lineitem GROUP BY l_orderkey",
     "q07_sheet_choice_most_rows": "SELECT lang, source, n_rows FROM (SELECT lang, source, count(*) FILTER (length(text) >= 40) AS n_rows FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_rows DESC, source) = 1",
     "q08_ledger_explode_last_wins": """WITH c AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS booked, CASE WHEN o_orderkey % 3 = 0 THEN [o_orderkey, o_orderkey + 1] ELSE [o_orderkey] END AS ns FROM orders),
