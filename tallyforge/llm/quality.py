@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.store import cut
-from tallyforge.llm.wordcodes import Words, buffer_of, mixed, rolling
+from tallyforge.llm.wordcodes import Words, buffer_of, mixed, rolling, slices
 
 #: Buckets of words and of shapes; two more hold "a new word" and "the word before, again".
 WORDS, SHAPES = 1 << 18, 1 << 14
@@ -86,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums[model] = np.zeros(SIZE + 1, np.int64)
         sums[model] += np.bincount(values, minlength=SIZE + 1)
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         grams = Grams(batch["text"])
         kind = batch["kind"].to_numpy(zero_copy_only=False)
         fold = batch["fold"].to_numpy(zero_copy_only=False)
@@ -110,7 +110,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, kind, a hash of the words and three min-hashes of their 3-grams, which near copies mostly share."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         words = Words(batch["text"])
         codes, grams = words.codes(), words.window_starts(3)
         text = np.searchsorted(words.first, grams, "right") - 1
@@ -244,7 +244,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     ratios = docs.sparkSession.sparkContext.broadcast(Ratios.of(models))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             weight, low, toxic, other = ratios.value.score(Grams(batch["text"]), batch["fold"].to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(weight), pa.array(-low), pa.array(toxic), pa.array(other)], ["row", "doc_id", "log_weight", "low_score", "toxic_score", "other_score"])
 

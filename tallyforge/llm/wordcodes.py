@@ -5,6 +5,7 @@ Everything works on the UTF-8 buffer of a whole Arrow batch, so no Python string
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -73,6 +74,16 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``most`` bytes of text, so that arrays per byte stay small; one row at least."""
+    ends = buffer_of(batch[column])[1]
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 class Words:
     """Words (runs of bytes other than blank, tab to carriage return) of many texts.
 
