@@ -17,6 +17,8 @@ from tallyforge.llm.store import cut
 LEVELS, EPOCHS, SEED, SHARE = ("domain", "lang", "source"), 2, 5, 0.5
 #: Hash ranges into which an epoch of a leaf is cut to find where its prefix ends.
 RANGES = 4096
+#: Leaves up to which the plan (a short row each) is broadcast; a larger one is joined by shuffling.
+BROADCAST_LEAVES = 100_000
 NONE = "(none)"
 
 
@@ -80,6 +82,7 @@ def mixed(docs: DataFrame, weights: dict[str, dict[str, float]], levels=LEVELS,
     """
     plan = planned(docs, weights, levels, share, epochs)
     plan = plan.select(*levels, "whole", "rest")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_LEAVES else plan
     keyed = docs.join(plan, list(levels)).withColumn("_h", F.xxhash64(F.lit(seed), "whole", "row"))
     keyed = keyed.withColumn("_range", F.shiftrightunsigned("_h", 52).cast("int"))
     sums = keyed.groupBy(*levels, "_range").agg(F.sum("tokens").alias("_sum"))
