@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tallyforge.llm.store import cut
 from tallyforge.llm.wordcodes import Words, buffer_of, mixed, rolling, slices
+from tallyforge.llm.workers import text_batches, tidy
 
 #: Buckets of words and of shapes; two more hold "a new word" and "the word before, again".
 WORDS, SHAPES = 1 << 18, 1 << 14
@@ -227,6 +228,7 @@ def _ordered(x: pd.Series) -> pd.Series:
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """row (a hash of doc_id and text), doc_id, kind (label: 0 none, 1 good, 2 low, 3 toxic) and the three scores of each row."""
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     labels = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -234,13 +236,13 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), kind.alias("kind"))
     part = min(1.0, fit_rows / max(labels.count(), 1))
     labels = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) <= int(part * (1 << 53)))
-    sketched = docs.join(F.broadcast(labels), "doc_id").mapInArrow(_sketches, "doc_id long, kind int, h long, m0 long, m1 long, m2 long")
+    sketched = docs.join(F.broadcast(labels), "doc_id").mapInArrow(tidy(_sketches), "doc_id long, kind int, h long, m0 long, m1 long, m2 long")
     for m in ("m0", "m1", "m2"):
         sketched = sketched.groupBy("kind", m).agg(F.min(F.struct("h", "doc_id", "m0", "m1", "m2")).alias("s")).select("kind", *[F.col(f"s.{c}").alias(c) for c in ("h", "doc_id", "m0", "m1", "m2")])
     fitted = cut(sketched.groupBy("doc_id").agg(F.max("kind").alias("kind")))
     rows = docs.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
     counts = rows.join(F.broadcast(fitted), "doc_id", "left").select("text", "fold", F.coalesce("kind", F.lit(0)).alias("kind"))
-    models = _summed(counts.mapInArrow(_counts, "model string, piece int, counts array<long>"))
+    models = _summed(counts.mapInArrow(tidy(_counts), "model string, piece int, counts array<long>"))
     ratios = docs.sparkSession.sparkContext.broadcast(Ratios.of(models))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +251,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(weight), pa.array(-low), pa.array(toxic), pa.array(other)], ["row", "doc_id", "log_weight", "low_score", "toxic_score", "other_score"])
 
     schema = "row long, doc_id long, log_weight double, low_score double, toxic_score double, other_score double"
-    out = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "fold").mapInArrow(f, schema)
+    out = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "fold").mapInArrow(tidy(f), schema)
     return cut(out.join(F.broadcast(fitted), "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit(0))))
 
 

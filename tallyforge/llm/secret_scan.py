@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.store import cut
+from tallyforge.llm.workers import text_batches, tidy
 
 # Fixed patterns of the base kinds, with the least length of the group that counts, in the order of the kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -163,7 +164,8 @@ def scan_secrets(docs: DataFrame, rate: float = RATE, alpha: float = ALPHA) -> D
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    scanned = cut(docs.mapInArrow(_scan, SCAN))
+    text_batches(docs.sparkSession)
+    scanned = cut(docs.mapInArrow(tidy(_scan), SCAN))
     shares = ordinary_shares(scanned.where("letters IS NOT NULL"))
 
     @F.pandas_udf("int")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
 from tallyforge.llm.store import cut
+from tallyforge.llm.workers import text_batches, tidy
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Blocks of a fingerprint. Of 6, fingerprints at 4 bits or fewer share 2 at least: keys of 21 bits or so.
@@ -50,8 +51,9 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
             values = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch["text"]], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(values)], ["doc_id", "row", "fp"])
 
+    text_batches(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(f, "doc_id long, row long, fp long")
+    return kept.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(tidy(f), "doc_id long, row long, fp long")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -150,7 +152,7 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "fp")
     dealt = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return dealt.mapInArrow(_bucket_links(distance), "a long, b long")
+    return dealt.mapInArrow(tidy(_bucket_links(distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.ranges import totals_before
 from tallyforge.llm.store import shared_folder
+from tallyforge.llm.workers import text_batches, tidy
 
 MAGIC, HEAD = b"TFEF", struct.Struct("<4sBBBBII")
 #: Id appended to each document, ids that close a segment, and words whose ids a worker keeps.
@@ -191,7 +192,7 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = END, segment_ids: int = SEGMENT_IDS) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = END, segment_ids: int = SEGMENT_IDS, cache: int = CACHE) -> None:
     """Writes docs (doc_id, text) in ascending doc_id order (null last, then by text) to the folder ``out``.
 
     Null texts are empty: their only id is the end. Repeated rows are documents of their own. Other columns are ignored.
@@ -202,7 +203,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = END, s
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stop = Encoder(tokenizer, width), end_id.to_bytes(width, "little")
+        encoder, stop = Encoder(tokenizer, width, cache), end_id.to_bytes(width, "little")
         part, number = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         names: list[int] = []
@@ -225,8 +226,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = END, s
         if names:
             yield closed()
 
+    text_batches(docs.sparkSession)
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(f, "part int, segment int, n_ids long, image binary").write.mode("overwrite").parquet(out)
+    ordered.mapInArrow(tidy(f), "part int, segment int, n_ids long, image binary").write.mode("overwrite").parquet(out)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -252,15 +254,15 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "part int, segment int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    rows = segments.select("part", "segment", "image").mapInArrow(f, schema).join(places, ["part", "segment"])
+    rows = segments.select("part", "segment", "image").mapInArrow(tidy(f), schema).join(places, ["part", "segment"])
     doc_id = F.when(F.col("doc_id") < (1 << 63) - 1, F.col("doc_id")).alias("doc_id")
     return rows.select(doc_id, (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def tokenised(spark: SparkSession, docs: DataFrame, tokenizer: str, out: str | None = None) -> DataFrame:
+def tokenised(spark: SparkSession, docs: DataFrame, tokenizer: str, out: str | None = None, cache: int = CACHE) -> DataFrame:
     """Writes docs to ``out`` (a new folder in the shared one by default) and reads the files back."""
     out = out or f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, tokenizer, out)
+    write_tokens(docs, tokenizer, out, cache=cache)
     return read_tokens(spark, out)
 
 
