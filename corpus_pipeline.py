@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm import decontamination, mixing, quality, simhash_dedup, token_file
 from tallyforge.llm.store import shared_folder
 
+#: Words whose ids a worker keeps in the last stage; fewer than op5 keeps, as workers hold memory of the other stages.
+CACHED_WORDS = 160_000
+
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
@@ -33,7 +36,7 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, read back from the token files."""
-    return token_file.tokenised(spark, docs, token_file.default_tokenizer())
+    return token_file.tokenised(spark, docs, token_file.default_tokenizer(), cache=CACHED_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
