@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontamination, mixing, quality, simhash_dedup, token_file
+from tallyforge.llm import decontamination, mixing, near_copies, quality, token_file
 from tallyforge.llm.store import shared_folder
 
 #: Words whose ids a worker keeps in the last stage; fewer than op5 keeps, as workers hold memory of the other stages.
@@ -20,8 +20,8 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash_dedup.one_of_each(docs)
+    """One document of each component of near copies (five words, similarity of 0.8 or more)."""
+    return near_copies.one_of_each(docs)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", _quality),
-    ("simhash near-dedup", _near_dedup),
+    ("near-dedup", _near_dedup),
     ("benchmark decontamination", _decontaminate),
     ("source mixing", _mix),
     ("token output", _tokens),

@@ -177,7 +177,11 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
 
     Rows without a doc_id come last. Of repeated rows one stays.
     """
-    found = near_duplicates(docs, **how)
+    return least_rows(docs, near_duplicates(docs, **how))
+
+
+def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that stand for the roots of found (doc_id, row, root)."""
     least = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row")).alias("least"))
     chosen = least.select(F.col("least.row").alias("_row")).distinct()
     keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(chosen, "_row")
