@@ -24,8 +24,10 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 #: What every match of ASSIGN that counts contains; a quick look spares most texts the pattern.
 _ASSIGN_SIGN = re.compile(r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}""")
 
-#: Runs of these of LEAST or more are candidates of the battery.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs of these are candidates of the battery; = only ends one, so a name before it is left out.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}=*")
+#: Pieces of a run that no alphabet holds as a whole: as base64 and as base64url.
+PIECES = (re.compile(r"[A-Za-z0-9+/]{20,}=*"), re.compile(r"[A-Za-z0-9_-]{20,}=*"))
 #: Encodings in the order in which they are inferred: the first whose alphabet holds all of a token.
 ENCODINGS = {
     "decimal": "0123456789",
@@ -90,6 +92,16 @@ def battery(token: str) -> tuple[str, int, float, float, float, float] | None:
     return name, n, stat, p_uniform, p_runs, 2 * _tail(abs(r) * math.sqrt(n))
 
 
+def tested_tokens(text: str) -> list[tuple]:
+    """(start, end, *battery) of each run of 20 or more letters that an alphabet holds, or else of its pieces."""
+    out = set()
+    for m in TOKEN.finditer(text):
+        whole = encoding_of(m.group()) is not None
+        spans = [m.span()] if whole else [p.span() for piece in PIECES for p in piece.finditer(text, m.start(), m.end())]
+        out.update((a, b, *got) for a, b in spans if (got := battery(text[a:b])))
+    return sorted(out)
+
+
 def ordinary_chance(stat: float, n: int, shares: np.ndarray) -> float:
     """The chance that n letters drawn at the shares of ordinary text look so uniform: P(statistic <= stat).
 
@@ -119,8 +131,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py() or ""
             letters += np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)[:128]
             base.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in base_spans(text)])
-            found = [(m.start(), m.end(), *got) for m in TOKEN.finditer(text) if (got := battery(m.group()))]
-            tokens.append([dict(zip(_TOKEN.names, x, strict=True)) for x in found])
+            tokens.append([dict(zip(_TOKEN.names, x, strict=True)) for x in tested_tokens(text)])
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [
