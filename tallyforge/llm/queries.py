@@ -20,6 +20,7 @@ _WHERE = {
 _SQL = {
     "op1_benchmark_decontamination": ("decontamination", "OP1_SQL"),
     "op2_substring_dedup": ("substring_dedup", "OP2_SQL"),
+    "op7_suffix_array_dedup": ("suffix_dedup", "OP7_SQL"),
 }
 
 

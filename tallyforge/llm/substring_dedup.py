@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.repeats import CHUNK_BYTES, ExactRepeats, FixedBlocks
+from tallyforge.llm.repeats import BlockAnchors, ExactRepeats, FixedBlocks
 
 WINDOW = 20
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text, spans (removed ranges of words).
 
     Blocks of window // 2 words at fixed distances are the index, all rolling windows of that length probe it, and hits
     grow to maximal exact repeats. Null and empty texts have no words; repeated rows and ids follow ``ExactRepeats``.
     """
-    return ExactRepeats(window, FixedBlocks((window + 1) // 2), chunk_bytes).run(docs)
+    return ExactRepeats(window, BlockAnchors(FixedBlocks((window + 1) // 2)), chunk_bytes).run(docs)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -6,15 +6,17 @@ Everything works on the UTF-8 buffer of a whole Arrow batch, so no Python string
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Bytes hashed at a time; word-level arrays are about a sixth as long.
-SLAB = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_JOIN = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that are hashed in steps over all words at once; longer words are hashed one by one.
+LONG_WORD = 256
+#: Windows hashed at a time, so that the arrays stay in the processor's cache.
+_SLAB = 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -28,37 +30,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=16)
-def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i modulo 2**64 for i < n; B is odd, so it has an inverse."""
-    base = _BASES[seed]
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-@lru_cache(maxsize=4)
-def _byte_codes(seed: int) -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASES[1 - seed]))
-
-
-def _room(n: int) -> int:
-    """A power of two of at least n, so that few power tables are made."""
-    return 1 << max(10, int(n - 1).bit_length())
-
-
-def _sums(values: np.ndarray, seed: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(seed, _room(len(values) + 1))[0][: len(values)], out=out[1:])
-    return out
-
-
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """Digest of values[starts[i]:ends[i]] for each i, before mixing."""
-    total = _sums(values, seed)
-    return (total[ends] - total[starts]) * _powers(seed, _room(len(values) + 1))[1][starts]
-
-
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -105,17 +76,24 @@ class Words:
         self.ends = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
 
-    def codes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit code for each word's bytes."""
-        out = np.empty(len(self.starts), np.uint64)
-        table, at = _byte_codes(seed), 0
-        while at < len(out):
-            low = self.starts[at]
-            stop = max(at + 1, int(np.searchsorted(self.ends, low + SLAB, "right")))
-            s, e = self.starts[at:stop], self.ends[at:stop]
-            out[at:stop] = _ranges(table[self.data[low : e[-1]]], s - low, e - low, seed) + (e - s).astype(np.uint64) * _M2
-            at = stop
-        return mixed(out)
+    def codes(self, seed: int = 0, key: int = 0) -> np.ndarray:
+        """A 64-bit code for each word's bytes. Who doesn't know ``key`` can't make up words with equal codes."""
+        secret = xxhash.xxh3_64_intdigest(seed.to_bytes(8, "little") + key.to_bytes(8, "little"))
+        length = self.ends - self.starts
+        out = mixed(length.astype(np.uint64) ^ np.uint64(secret))
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self.data) + 1,), "<u8", buffer=padded.data, strides=(1,))
+        rest, at = np.flatnonzero(length <= LONG_WORD), 0
+        while len(rest):
+            left = length[rest] - at
+            part = eight[self.starts[rest] + at]
+            short = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+            part &= ~np.uint64(0) >> (np.uint64(64) - short)
+            out[rest] = mixed(out[rest] ^ part)
+            rest, at = rest[left > 8], at + 8
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes(), secret)
+        return out
 
     def window_starts(self, length: int) -> np.ndarray:
         """Indexes of words at which a window of so many words of one text starts."""
@@ -131,14 +109,22 @@ class Words:
 
 
 def rolling(codes: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """Digests of codes[i:i+length] for every i; the last few, which would run over the end, are zero."""
+    """Digests of codes[i:i+length] for every i; the last few, which would run over the end, are zero.
+
+    Digests of 1, 2, 4, ... codes are made from two neighbours each, and those that add up to the length are chained.
+    """
     out = np.zeros(len(codes), np.uint64)
-    if len(codes) >= length:
-        step = 1 << 20
-        for at in range(0, len(codes) - length + 1, step):
-            part = codes[at : at + step + length - 1]
-            s = np.arange(len(part) - length + 1)
-            out[at : at + len(s)] = mixed(_ranges(part, s, s + length, seed))
+    for at in range(0, len(codes) - length + 1, _SLAB):
+        power = mixed(codes[at : at + _SLAB + length - 1] + np.uint64(seed))
+        n, width, done, sofar = len(power) - length + 1, 1, 0, None
+        while width <= length:
+            if length & width:
+                part = power[done : done + n]
+                sofar = part if sofar is None else mixed(sofar * _JOIN + part)
+                done += width
+            power = mixed(power[:-width] * _JOIN + power[width:]) if 2 * width <= length else power
+            width *= 2
+        out[at : at + n] = sofar
     return out
 
 

@@ -2,17 +2,23 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from tallyforge.llm import substring_dedup, suffix_dedup
-from tallyforge.llm.repeats import FixedBlocks, Minimisers
+from tallyforge.llm.repeats import Chunk, FixedBlocks
 from tallyforge.llm.wordcodes import Words, pack_sorted, rolling, slices, unpack_sorted
 
 SCHEMA = "doc_id long, text string, n_words string"
 
 
+def hashed(text):
+    value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def brute(rows, length):
     seen, out = set(), []
-    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashed(r[1]), r[1] or "")):
         words = (text or "").encode().split()
         gone = [False] * len(words)
         for i in range(len(words) - length + 1):
@@ -85,7 +91,47 @@ def test_anchors_cover_every_window():
     rng = random.Random(2)
     words = Words(pa.array([" ".join(str(rng.randrange(5)) for _ in range(400))]))
     codes = words.codes()
-    for rule, window in ((FixedBlocks(10), 20), (Minimisers(6, 25, 26), 50)):
-        _, index, at = rule.probes(words, codes)
-        at = np.sort(at[index])
-        assert all(((at >= s) & (at + rule.span <= s + window)).any() for s in words.window_starts(window))
+    _, index, blocks = FixedBlocks(10).probes(words, codes)
+    suffixes = suffix_dedup.minimisers(Chunk(None, None, words, codes), 6, 25, 26)
+    for at, span, window in ((np.sort(blocks[index]), 10, 20), (suffixes, 26, 50)):
+        assert all(((at >= s) & (at + span <= s + window)).any() for s in words.window_starts(window))
+
+
+def thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+@pytest.mark.parametrize(("module", "length"), [(substring_dedup, 20), (suffix_dedup, 50)])
+def test_words_made_to_collide_under_polynomials(spark, module, length):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{i}" for i in range(length - 1))
+    rows = [(1, f"{same} {word}", "x"), (2, f"{same} {other}", "x"), (3, f"{same} {word}", "x"), (4, "é" * 700 + f" {same} {'y' * 3000}", "x"), (5, f"{same} {'y' * 3000}", "x")]
+    got = {r.doc_id: r.n_removed for r in module.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 0, 2: 0, 3: length, 4: 0, 5: length}
+
+
+def test_many_rows_without_an_id_or_of_one_id_are_cut_into_chunks(spark):
+    rows = [r[:2] for r in corpus(3, 20)]
+    rows = [(None if i % 3 else 7, t) for i, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    got = substring_dedup.remove_repeats(docs, chunk_bytes=1000).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == brute(rows, 20)
+
+
+def test_neighbours_over_edges_of_runs():
+    import pyarrow as pa
+
+    def run(values):
+        batch = lambda part: pa.RecordBatch.from_pydict({"head": pa.array(part, pa.binary()), "chunk": pa.array([0] * len(part), pa.int32()), "at": pa.array([int(x[1:]) for x in part], pa.int32())})
+        out = [r for part in suffix_dedup._neighbours(iter([batch(p) for p in values])) for r in part.to_pylist()]
+        return [(r["at"], r["head"]) for r in out]
+
+    cut = lambda x: [v.ljust(2, b"0") for v in x]
+    assert run([]) == []
+    assert run([cut([b"a1"])]) == [(1, b"a1")]
+    assert run([cut([b"11"]), cut([b"11", b"12"])]) == [(1, None), (1, None), (2, b"12")]
+    assert run([cut([b"11", b"12"]), [], cut([b"12", b"13", b"13"])]) == [(1, b"11"), (2, None), (2, None), (3, None), (3, None)]
