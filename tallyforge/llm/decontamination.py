@@ -1,8 +1,9 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame functions only.
 
-The index holds postings (document, position, term) of the training tokens. A query item is cut into windows; each
-window is sought by the postings of its two rarest terms, whose lists are shifted by the terms' offsets and intersected.
-What is left is compared word by word.
+The index holds postings (document, position, term) of the training tokens; those of the queries' terms are written once
+and read twice, for the terms' frequencies and for their lists. A query item is cut into windows; each window is sought
+by the postings of its two rarest terms, whose lists are shifted by the terms' offsets and intersected. What is left is
+compared word by word, in the few documents that have any.
 """
 
 from __future__ import annotations
@@ -10,9 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.rows import by_keys, row_key, small
+from tallyforge.llm.store import cut, new_folder, remove
+
 WINDOW, RATIO = 13, 20
-#: Item words up to which query terms are broadcast (a few MB); more are joined by sorting, where Spark splits hot terms.
-BROADCAST_WORDS = 500_000
+#: Rows of query terms and windows up to which they are broadcast (up to about 100 bytes each, a plan's words included); more
+#: are joined by sorting, where Spark splits hot terms.
+BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes that end a word: all ASCII but digits and letters.
 _BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -28,19 +33,15 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """A key that repeated rows share. Rows that share it by chance only have more to compare."""
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A short key of postings. Documents that share one by chance only have more to compare."""
     return F.xxhash64(doc_id.cast("long"), text.cast("string"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """The positional index of docs (doc_id, text): row, pos (from 0), term."""
-    at = docs.select(row_key(docs["doc_id"], docs["text"]).alias("row"), F.posexplode(words_of(docs["text"])).alias("pos", "word"))
-    return at.select("row", "pos", lowered(F.col("word")).alias("term"))
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_WORDS else df
+    """The positional index of docs (doc_id, text): doc (text_key), pos (from 0), term."""
+    at = docs.select(text_key(docs["doc_id"], docs["text"]).alias("doc"), F.posexplode(words_of(docs["text"])).alias("pos", "word"))
+    return at.select("doc", "pos", lowered(F.col("word")).alias("term"))
 
 
 def query_terms(items: DataFrame) -> DataFrame:
@@ -69,6 +70,37 @@ def plans(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
     return out.withColumn("words", F.expr("slice(words, lo + 1, hi - lo + length)"))
 
 
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Of the rows of docs with an occurrence: row (row_key), n_words and hits as in occurrences(). Repeated rows once."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    items = cut(query_terms(items))
+    terms = cut(items.select(F.explode("words").alias("term")).distinct().withColumn("t", F.xxhash64("term")))
+    at = new_folder(spark, "postings")
+    postings(docs).join(_small(terms), "term").select("doc", "pos", "t").write.parquet(at)
+    index = spark.read.parquet(at)
+    frequency = index.groupBy("t").agg(F.count("*").alias("n")).join(terms, "t").select("term", "n")
+    plan = cut(plans(items, cut(frequency), window).withColumn("plan", F.xxhash64("item_id", "words", "first", "second", "lo")))
+    both = F.array(F.struct(F.col("first").alias("offset"), F.lit(1).alias("bit")), F.struct(F.col("second").alias("offset"), F.lit(2).alias("bit")))
+    sought = plan.select("plan", "words", "lo", F.explode(both).alias("x"))
+    sought = sought.select("plan", F.xxhash64(F.expr("words[x.offset - lo]")).alias("t"), "x.offset", "x.bit")
+    lists = index.join(_small(sought), "t")
+    met = lists.groupBy("doc", "plan", (F.col("pos") - F.col("offset")).alias("shift")).agg(F.bit_or("bit").alias("bits")).where("bits = 3")
+    met = cut(met.groupBy("doc", "plan").agg(F.collect_list("shift").alias("shifts")))
+    remove(spark, at)
+    found = met.join(_small(plan.select("plan", "item_id", "words", "lo", "hi", "length")), "plan")
+    found = cut(found.groupBy("doc").agg(F.collect_list(F.struct("item_id", "words", "lo", "hi", "length", "shifts")).alias("found")))
+    out = docs.withColumn("doc", text_key(F.col("doc_id"), F.col("text"))).join(small(found, BROADCAST_DOCS), "doc")
+    out = out.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), words_of(F.col("text")).alias("words"), "found")
+    out = out.withColumn("low", F.transform("words", lowered))
+    out = out.select("row", F.size("words").cast("long").alias("n_words"), F.expr(_VERIFIED).alias("hits")).where(F.size("hits") > 0)
+    return cut(out.dropDuplicates(["row"]))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return small(df, BROADCAST_ROWS)
+
+
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows of docs (doc_id, text), with n_words and hits: array of (item_id, start, length) sorted and distinct.
 
@@ -76,31 +108,20 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     Null and empty texts have no words and items without words no windows. Repeated rows each get their hits; so do
     rows without a doc_id. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    items = query_terms(items)
-    count = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    index = postings(docs)
-    vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    frequency = index.select("term").join(_small(vocabulary, count), "term").groupBy("term").agg(F.count("*").alias("n"))
-    plan = plans(items, frequency, window).withColumn("plan", F.xxhash64("item_id", "words", "first", "second", "lo"))
-    sought = plan.select("plan", "words", "lo", F.explode(F.array(F.struct(F.col("first").alias("offset"), F.lit(1).alias("bit")), F.struct(F.col("second").alias("offset"), F.lit(2).alias("bit")))).alias("x"))
-    sought = sought.select("plan", F.expr("words[x.offset - lo]").alias("term"), "x.offset", "x.bit")
-    lists = index.join(_small(sought, count), "term")
-    met = lists.groupBy("row", "plan", (F.col("pos") - F.col("offset")).alias("shift")).agg(F.bit_or("bit").alias("bits")).where("bits = 3")
-    found = met.join(_small(plan.select("plan", "item_id", "words", "lo", "hi", "length"), count), "plan")
-    found = found.groupBy("row").agg(F.collect_list(F.struct("item_id", "words", "lo", "hi", "length", "shift")).alias("found"))
-    out = docs.withColumn("row", row_key(F.col("doc_id"), F.col("text"))).join(found, "row", "left")
-    out = out.select("doc_id", "row", words_of(F.col("text")).alias("words"), "found")
-    out = out.withColumn("low", F.when(F.col("found").isNotNull(), F.transform("words", lowered)))
-    return out.select("doc_id", F.col("row").alias("_row"), F.size("words").cast("long").alias("n_words"), F.coalesce(F.expr(_VERIFIED), F.expr(_NONE)).alias("hits"))
+    found = hits(docs, items, window).select("row", "hits")
+    rows = docs.select("doc_id", row_key(docs["doc_id"], docs["text"]).alias("row"), F.size(words_of(docs["text"])).cast("long").alias("n_words"))
+    out = rows.join(small(found, BROADCAST_DOCS), "row", "left")
+    return out.select("doc_id", "row", "n_words", F.coalesce("hits", F.expr(_NONE)).alias("hits"))
 
 
+#: Documents with hits up to which these are broadcast.
+BROADCAST_DOCS = 20_000
 _NONE = "cast(array() AS array<struct<item_id:bigint,start:int,length:int>>)"
 #: Of the windows in ``found``, those whose words are the document's at that place.
-_VERIFIED = """array_sort(array_distinct(flatten(transform(found, c -> transform(
-    filter(sequence(c.lo, c.hi), a -> a + c.shift >= 0 AND a + c.shift + c.length <= size(low)
-           AND slice(low, a + c.shift + 1, c.length) = slice(c.words, a - c.lo + 1, c.length)),
-    a -> struct(cast(c.item_id AS bigint) AS item_id, a + c.shift AS start, c.length AS length))))))"""
+_VERIFIED = """array_sort(array_distinct(flatten(transform(found, c -> flatten(transform(c.shifts, shift -> transform(
+    filter(sequence(c.lo, c.hi), a -> a + shift >= 0 AND a + shift + c.length <= size(low)
+           AND slice(low, a + shift + 1, c.length) = slice(c.words, a - c.lo + 1, c.length)),
+    a -> struct(cast(c.item_id AS bigint) AS item_id, a + shift AS start, c.length AS length))))))))"""
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
@@ -111,10 +132,9 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     items = query_terms(items).select("item_id", F.array_sort(F.array_distinct("words")).alias("terms")).distinct()
-    count = items.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     sought = items.select("item_id", F.size("terms").alias("k"), F.posexplode("terms").alias("t", "term"))
-    lists = postings(docs).distinct().join(_small(sought, count), "term")
-    met = lists.groupBy("row", "item_id", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("at"))
+    lists = postings(docs).distinct().join(_small(sought), "term")
+    met = lists.groupBy("doc", "item_id", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("at"))
     met = met.where(F.size(F.array_distinct("at.t")) == F.col("k"))
     best = F.expr(
         """aggregate(at, struct(array_repeat(-1, k) AS last, 2147483647 AS width, -1 AS start, -1 AS end),
@@ -130,8 +150,15 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
                   AND array_min(transform(acc.last, (p, i) -> if(i = x.t, x.pos, p))) >= 0, x.pos + 1, acc.end) AS end))"""
     )
     met = met.withColumn("best", best).where(F.col("best.width") <= slop)
-    keys = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"))
-    return keys.join(met, "row").select("doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.end").alias("end"))
+    keys = docs.select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("doc"))
+    return keys.join(met, "doc").select("doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.end").alias("end"))
+
+
+def _marks(rows: DataFrame, ratio: int) -> DataFrame:
+    hit = "size(array_distinct(flatten(transform(hits, h -> sequence(h.start, h.start + h.length - 1)))))"
+    out = rows.withColumn("n_hit", F.expr(hit).cast("long"))
+    out = out.withColumn("items", F.array_compact(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))))
+    return out.withColumn("contaminated", F.expr(f"n_hit > 0 AND {ratio} * n_hit >= n_words"))
 
 
 def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, ratio: int = RATIO) -> DataFrame:
@@ -139,18 +166,12 @@ def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, ratio: int =
 
     contaminated: n_hit > 0 and ratio * n_hit >= n_words. Hits of items without an id count as words, not as items.
     """
-    out = occurrences(docs, items, window)
-    hit = "size(array_distinct(flatten(transform(hits, h -> sequence(h.start, h.start + h.length - 1)))))"
-    out = out.withColumn("n_hit", F.expr(hit).cast("long"))
-    out = out.withColumn("items", F.array_compact(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))))
-    return out.withColumn("contaminated", F.expr(f"n_hit > 0 AND {ratio} * n_hit >= n_words"))
+    return _marks(occurrences(docs, items, window), ratio)
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, ratio: int = RATIO) -> DataFrame:
-    """The rows of docs, in all their columns, that are not contaminated; as in judged()."""
-    key = row_key(docs["doc_id"], docs["text"])
-    bad = judged(docs, items, window, ratio).where("contaminated").select("_row").distinct()
-    return docs.join(bad, key == F.col("_row"), "left_anti")
+    """The rows of docs, in all their columns whatever their names, that are not contaminated; as in judged()."""
+    return by_keys(docs, cut(_marks(hits(docs, items, window), ratio).where("contaminated").select("row")), "left_anti")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm.rows import row_key
 from tallyforge.llm.store import cut
 
 LEVELS, EPOCHS, SEED, SHARE = ("domain", "lang", "source"), 2, 5, 0.5
@@ -73,34 +74,42 @@ def planned(docs: DataFrame, weights: dict[str, dict[str, float]], levels=LEVELS
     return cut(out.withColumn("whole", whole).withColumn("rest", F.col("share") - F.col("whole") * F.col("tokens")).drop(*[f"weight_{x}" for x in levels]))
 
 
-def mixed(docs: DataFrame, weights: dict[str, dict[str, float]], levels=LEVELS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """All rows of docs (row, level columns, tokens) with ``taken``: array of (epoch, tokens) that the mixture takes.
+def mixed(docs: DataFrame, weights: dict[str, dict[str, float]], levels=LEVELS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, light: DataFrame | None = None) -> DataFrame:
+    """All rows of docs (row, level columns, tokens, any others) with ``taken``: array of (epoch, tokens) for the mixture.
 
     Whole epochs give all of a document's tokens. Of the next one, in the order of a hash of seed, epoch and row, documents
-    give tokens until the leaf's share is met, the last one perhaps a part. A leaf is cut by hash range: sums of ranges
-    lead to the one in which the prefix ends, so no task holds a whole leaf. Equal rows come in any order.
+    give tokens until the leaf's share is met, the last one perhaps a part. Equal rows come in any order. Weights of 0 or
+    less get what is left when all others are full.
+
+    A leaf is cut by hash range. Sums of ranges (RANGES a leaf at most, however many documents it has) tell in which
+    range its prefix ends: ranges before it are taken, those after it not, and only the rows of that one range, one in
+    RANGES of the leaf, are put in order. ``light``: docs without the other columns, if these are cheaper to read.
     """
-    plan = planned(docs, weights, levels, share, epochs)
-    plan = plan.select(*levels, "whole", "rest")
+    light = docs if light is None else light
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(F.lit(seed), "whole", "row")).withColumn("_range", F.shiftrightunsigned("_h", 52).cast("int"))
+    plan = planned(light, weights, levels, share, epochs).select(*levels, "whole", "rest")
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_LEAVES else plan
-    keyed = docs.join(plan, list(levels)).withColumn("_h", F.xxhash64(F.lit(seed), "whole", "row"))
-    keyed = keyed.withColumn("_range", F.shiftrightunsigned("_h", 52).cast("int"))
-    sums = keyed.groupBy(*levels, "_range").agg(F.sum("tokens").alias("_sum"))
-    before = Window.partitionBy(*levels).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    keyed = keyed.join(sums, [*levels, "_range"])
-    inside = Window.partitionBy(*levels, "_range").orderBy(F.shiftrightunsigned("_h", 1), "_h", "row").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.col("_before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
-    part = F.greatest(F.least(F.col("tokens"), F.col("rest") - place), F.lit(0))
-    out = keyed.withColumn("_part", part)
+    sums = hashed(light.join(plan, list(levels))).groupBy(*levels, "_range").agg(F.sum("tokens").alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy(*levels).orderBy("_range"))
+    sums = sums.withColumn("_before", upto - F.col("_sum")).join(plan, list(levels))
+    ends = sums.where("_before < rest AND _before + _sum >= rest").groupBy(*levels).agg(F.min(F.struct("_range", "_before")).alias("_end"))
+    plan = cut(plan.join(ends, list(levels), "left"))
+    keyed = hashed(docs.join(F.broadcast(plan) if plan.count() <= BROADCAST_LEAVES else plan, list(levels)))
+    inside = Window.partitionBy(*levels).orderBy(F.shiftrightunsigned("_h", 1), "_h", "row").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("_end._before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
+    last = keyed.where(F.col("_range") == F.col("_end._range"))
+    last = last.withColumn("_part", F.greatest(F.least(F.col("tokens"), F.col("rest") - place), F.lit(0)))
+    others = keyed.where(F.col("_end").isNull() | (F.col("_range") != F.col("_end._range")))
+    others = others.withColumn("_part", F.when(F.col("_range") < F.col("_end._range"), F.col("tokens")).otherwise(0).cast("long"))
+    none = F.array().cast("array<struct<epoch:int,tokens:bigint>>")
     every = F.transform(F.sequence(F.lit(1), F.col("whole")), lambda e: F.struct((e - 1).alias("epoch"), F.col("tokens").alias("tokens")))
-    every = F.when(F.col("whole") > 0, every).otherwise(F.array().cast("array<struct<epoch:int,tokens:bigint>>"))
-    last = F.when(F.col("_part") > 0, F.array(F.struct(F.col("whole").alias("epoch"), F.col("_part").alias("tokens")))).otherwise(F.array().cast("array<struct<epoch:int,tokens:bigint>>"))
-    return out.select(*docs.columns, F.concat(every, last).alias("taken"))
+    part = F.when(F.col("_part") > 0, F.array(F.struct(F.col("whole").alias("epoch"), F.col("_part").alias("tokens")))).otherwise(none)
+    taken = F.concat(F.when(F.col("whole") > 0, every).otherwise(none), part).alias("taken")
+    return others.unionByName(last).select(*docs.columns, taken)
 
 
-def leaf_columns(docs: DataFrame) -> DataFrame:
-    """row (hash of doc_id and text), doc_id, domain (by the number at the end of source), lang, source, tokens.
+def leaf_columns(docs: DataFrame, *more: Column) -> DataFrame:
+    """row (row_key), doc_id, domain (by the number at the end of source), lang, source, tokens, and ``more``.
 
     Null levels are the value (none). The domains are a stand-in for a table of sources: odd numbers are web, even ones
     are books, and sources without a number are other.
@@ -108,8 +117,8 @@ def leaf_columns(docs: DataFrame) -> DataFrame:
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9])$", 1)
     domain = F.when(number == "", "other").when(number.isin("1", "3", "5", "7", "9"), "web").otherwise("books")
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c)
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.select(row.alias("row"), F.col("doc_id"), domain.alias("domain"), level("lang"), level("source"), token_count(F.col("text")).alias("tokens"))
+    row = row_key(docs["doc_id"], docs["text"]).alias("row")
+    return docs.select(row, F.col("doc_id"), domain.alias("domain"), level("lang"), level("source"), token_count(F.col("text")).alias("tokens"), *more)
 
 
 #: Weights of the query and the pipeline.
@@ -117,15 +126,24 @@ WEIGHTS = {"domain": {"web": 3.0, "books": 2.0, "other": 1.0}, "lang": {"en": 4.
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    out = mixed(leaf_columns(spark.read.parquet(f"{sf_dir}/documents.parquet")), WEIGHTS)
+    out = mixed(cut(leaf_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))), WEIGHTS)
     total = F.aggregate("taken", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
     return out.select("doc_id", "domain", "lang", "source", F.col("tokens").alias("n_tokens"), F.size("taken").cast("long").alias("n_epochs"), total.alias("taken_tokens"))
 
 
+def first_tokens(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th token, blanks between tokens as they are."""
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
 def mixture(docs: DataFrame, weights: dict[str, dict[str, float]] | None = None, **how) -> DataFrame:
-    """The rows of docs that the mixture takes tokens from, in all their columns, once for each epoch that takes any."""
-    taken = mixed(leaf_columns(docs), weights or WEIGHTS, **how).where(F.size("taken") > 0)
-    taken = taken.groupBy(F.col("row").alias("_row")).agg(F.max(F.size("taken")).alias("_times"))
-    row = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    out = docs.join(taken, row == F.col("_row")).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    """The rows of docs that the mixture takes tokens from, in all their columns, once for each epoch that takes any.
+
+    Where an epoch takes only the first tokens of a document, its text ends after these. Columns may have any names.
+    """
+    light = cut(leaf_columns(docs).select("row", *LEVELS, "tokens"))
+    taken = mixed(leaf_columns(docs, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")), weights or WEIGHTS, light=light, **how)
+    out = taken.select("doc", "tokens", F.explode("taken").alias("t"))
+    text = F.when(F.col("t.tokens") < F.col("tokens"), first_tokens(F.col("doc.text").cast("string"), F.col("t.tokens"))).otherwise(F.col("doc.text").cast("string"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -1,12 +1,17 @@
-"""Near copies by their words: MinHash bands find candidates, the shingle sets decide.
+"""SimHash near-duplicates at a similarity of 0.8: wide fingerprints in blocks, checked by the sets of shingles.
 
-Distances of SimHash that take in pairs at a similarity of 0.8 (13 bits of 64 and more) leave keys of a few bits, which
-nearly all fingerprints share; bands of MinHash values stay selective, and no link is made before the sets are compared.
+Texts whose sets of shingles have a Jaccard similarity of 0.8 differ in 15 % of SimHash bits. No pair of 64-bit
+fingerprints is sure to share a block of more than 5 bits at that rate, so fingerprints are as wide as the count of
+texts asks for, and cut into so many blocks of so many bits that such a pair shares a block in 99.5 % of cases (pairs
+above 0.8 more often). Fingerprints that share a block are compared in full; what lies within the distance is checked
+by the sets themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,72 +20,119 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
-from tallyforge.llm.simhash_dedup import least_rows
+from tallyforge.llm.rows import ROW, by_keys, row_key, unused
+from tallyforge.llm.simhash_dedup import block_links
 from tallyforge.llm.store import cut
+from tallyforge.llm.wordcodes import Words, buffer_of, mixed, rolling, slices
 from tallyforge.llm.workers import text_batches, tidy
 
-SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-#: MinHash values of a band, and bands. Of pairs at 0.8, a share of (1 - 0.8^6)^40 = 5 in a million meets in no band.
-ROWS, BANDS = 6, 40
+SHINGLE, SIMILARITY = 5, 0.8
+#: Chance that a pair at the similarity shares no block; deviations by which it may differ in more bits than expected;
+#: fingerprints that share a block's value by chance, about; least and most bits of a block.
+MISSED, DEVIATIONS, BY_CHANCE, BITS = 0.005, 4.0, 500, (6, 24)
 #: Shingles compared at once, about 2,000 documents of common length; larger groups are cut into tiles that meet pairwise.
 TILE = 500_000
-#: Shingles of a document whose MinHash values are computed at once.
-_SLICE = 2048
-_rng = np.random.default_rng(SEED)
-_TIMES = _rng.integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _rng.integers(0, 1 << 63, ROWS * BANDS, np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+@dataclass(frozen=True)
+class Shape:
+    """A fingerprint of 64 * lanes bits, its blocks, and the bits in which linked fingerprints differ at most."""
 
+    lanes: int
+    blocks: int
+    bits: int
+    distance: int
 
-def shingle_set(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct XXH64 values of the runs of ``shingle`` words, sorted; fewer words are one run, none have no run."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(shingle, len(words))
-    n = len(words) - k + 1
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
+    @classmethod
+    def of(cls, texts: int, similarity: float) -> Shape:
+        """For so many texts. A bit differs between two sets at the angle of their indicator vectors, by pi."""
+        apart = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+        bits = min(BITS[1], max(BITS[0], math.ceil(math.log2(max(texts, 1) / BY_CHANCE + 1))))
+        blocks = max(8, math.ceil(math.log(MISSED) / math.log1p(-((1 - apart) ** bits))))
+        lanes = max(3, -(-blocks * bits // 64))
+        n = 64 * lanes
+        return cls(lanes, n // bits, bits, math.ceil(n * apart + DEVIATIONS * math.sqrt(n * apart * (1 - apart))))
 
 
-def band_keys(values: np.ndarray) -> list[int]:
-    """A key for each band of MinHash values."""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), _SLICE):
-        np.minimum(least, (values[at : at + _SLICE, None] * _TIMES + _PLUS).min(0), out=least)
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(bands[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64).tolist()
+class Shingles:
+    """Distinct codes of the texts' runs of ``shingle`` words (A-Z in any case); fewer words are one run, none no run.
 
+    ``values``: the codes, text by text, ascending in each. ``first``: index of each text's first one, and the end.
+    """
 
-def with_bands(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), node (a hash of the words), n (shingles) and keys, a row for each input row."""
+    def __init__(self, column: pa.Array, shingle: int = SHINGLE):
+        data, offsets = buffer_of(column)
+        n = len(offsets) - 1
+        low = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_LOWER[data].tobytes()))
+        self.words = words = Words(low)
+        codes, counts = words.codes(), np.diff(words.first)
+        at = words.window_starts(shingle)
+        value, owner = [rolling(codes, shingle)[at]], [np.searchsorted(words.first, at, "right") - 1]
+        for few in range(1, shingle):
+            short = np.flatnonzero(counts == few)
+            value.append(rolling(codes, few)[words.first[short]] if len(short) else np.zeros(0, np.uint64))
+            owner.append(short)
+        value, owner = np.concatenate(value), np.concatenate(owner)
+        order = np.lexsort((value, owner))
+        value, owner = value[order], owner[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        self.values, owner = value[new], owner[new]
+        self.first = np.searchsorted(owner, np.arange(n + 1))
+
+    def nodes(self) -> list[bytes]:
+        """A 128-bit hash of each text's words."""
+        words, data = self.words, self.words.data.tobytes()
+        bounds = zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)
+        return [xxhash.xxh3_128_digest(b" ".join(data[words.starts[a] : words.ends[b - 1]].split())) if b > a else b"" for a, b in bounds]
+
+    def fingerprints(self, lanes: int) -> np.ndarray:
+        """A row of ``lanes`` numbers of 64 bits for each text: a bit is set that over half of its codes set."""
+        n = len(self.first) - 1
+        out = np.zeros((n, lanes), np.uint64)
+        size = np.diff(self.first)
+        some = np.flatnonzero(size)
+        for lane in range(lanes if len(some) else 0):
+            hashed = mixed(self.values + np.uint64((2 * lane + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            bits = np.unpackbits(hashed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.add.reduceat(bits, self.first[some], axis=0, dtype=np.int32)
+            out[some, lane] = np.packbits(2 * sums > size[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        return out
+
+
+def block_values(prints: np.ndarray, shape: Shape) -> np.ndarray:
+    """(fingerprints, blocks): each block's number and bits as one number."""
+    bits = np.unpackbits(prints.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : shape.blocks * shape.bits]
+    values = bits.reshape(len(prints), shape.blocks, shape.bits) @ (np.int64(1) << np.arange(shape.bits))
+    return values + (np.arange(shape.blocks) << shape.bits)
+
+
+def with_prints(docs: DataFrame, shape: Shape, shingle: int) -> DataFrame:
+    """row, node (a 128-bit hash of the words), n (distinct shingles) and fp (the fingerprint's bytes) of docs (row, text)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, keys = [], [], []
-            for text in batch["text"]:
-                words = words_of(text.as_py())
-                values = shingle_set(words)
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-                sizes.append(len(values))
-                keys.append(band_keys(values) if words else [])
-            columns = [batch["doc_id"], batch["row"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "n", "keys"])
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = Shingles(batch["text"], shingle)
+            prints = [x.tobytes() for x in found.fingerprints(shape.lanes).astype("<u8")]
+            columns = [batch["row"], pa.array(found.nodes(), pa.binary()), pa.array(np.diff(found.first), pa.int64()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "node", "n", "fp"])
+
+    return docs.mapInArrow(tidy(f), f"row {ROW}, node binary, n long, fp binary")
 
-    return docs.mapInArrow(tidy(f), "doc_id long, row long, node long, n long, keys array<long>")
 
+def _with_sets(shingle: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = Shingles(batch["text"], shingle)
+            sets = pa.ListArray.from_arrays(pa.array(found.first, pa.int32()), pa.array(found.values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["part"], sets], ["node", "part", "shingles"])
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(words_of(text.as_py())).view(np.int64) for text in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["node"], batch["part"], pa.array(sets, pa.list_(pa.int64()))], ["node", "part", "shingles"])
+    return f
 
 
-def similar(nodes: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def similar(nodes: list, sets: list[np.ndarray], similarity: float) -> list[tuple]:
     """A spanning forest of the pairs whose sets have a Jaccard similarity of ``similarity`` or more."""
     if len(nodes) < 2:
         return []
@@ -111,6 +163,9 @@ def similar(nodes: list[int], sets: list[np.ndarray], similarity: float) -> list
 def _part_links(similarity: float):
     """Links within each part (left and right are its tiles); rows come sorted by part, left and right."""
 
+    def edges(pairs: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets = None, [], []
         for batch in batches:
@@ -122,46 +177,69 @@ def _part_links(similarity: float):
                     key, nodes, sets = (part, left, right), [], []
                 nodes.append(node)
                 sets.append(shingles.values.to_numpy(zero_copy_only=False).copy())
-            yield _edges(out)
-        yield _edges(similar(nodes, sets, similarity))
+            yield edges(out)
+        yield edges(similar(nodes, sets, similarity))
 
     return f
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    ends = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """row (as row_key() gives it), node (a hash of its words) and root for each row of docs.
 
+    Rows of one root are copies, directly or through others. Rows link if their words are equal (A-Z in any case, any
+    blanks between words), or if their sets of shingles have a Jaccard similarity of ``similarity`` or more; rows without words (null
+    or blank) link with one another.
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """doc_id, row and root for each row of docs; rows of one root are copies, directly or through others.
-
-    Rows link if their sets of five-word shingles have a Jaccard similarity of ``similarity`` or more (letters A-Z in any
-    case, any blanks between words); rows without words link with one another. Nodes that share a band key, directly or
-    through others, form a part; only within parts are sets compared, so each set is sent once, or once for each tile of
-    a part of over ``tile`` shingles. Pairs are never written out. Bands are made for 0.8; lower similarities lose pairs.
+    Fingerprints that share a block are compared, and those within the distance form a part, directly or through others;
+    sets are compared within parts only, so each text is sent once, or once for each tile of a part of over ``tile``
+    shingles. Pairs are never written out. What is missed: pairs that share no block (0.5 % at the similarity itself).
     """
     text_batches(docs.sparkSession)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kept = kept.withColumn("row", F.xxhash64("doc_id", "text"))
-    prints = cut(with_bands(kept))
-    nodes = prints.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    keyed = keyed.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("key")).alias("b"))
-    parts = components(keyed.where("a <> b")).withColumnRenamed("root", "part")
-    members = cut(nodes.select("node", "row", "n").join(parts, "node"))
-    tiles = members.groupBy("part").agg(F.ceil(F.sum("n") / tile).cast("int").alias("tiles"))
-    texts = kept.select("row", "text").join(members.select("row", "node", "part"), "row")
-    sets = texts.select("node", "part", "text").mapInArrow(tidy(_with_sets), "node long, part long, shingles array<long>")
-    dealt = sets.join(tiles, "part").withColumn("side", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    kept = docs.select(row_key(docs["doc_id"], docs["text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    shape = Shape.of(kept.count(), similarity)
+    prints = cut(with_prints(kept, shape, shingle))
+    links = block_links(prints.where("n > 0").select("fp").distinct(), lambda p: block_values(p, shape), shape.lanes, shape.distance)
+    roots = components(links)
+    # parts of several texts: linked fingerprints, or one of several texts
+    nodes = prints.groupBy("fp", "node").agg(F.min("row").alias("row"), F.first("n").alias("n")).where("n > 0")
+    nodes = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("part", F.coalesce("root", "fp"))
+    parts = nodes.groupBy("part").agg(F.count("*").alias("size"), F.ceil(F.sum("n") / tile).cast("int").alias("tiles"))
+    parts = cut(parts.where("size > 1").drop("size"))
+    members = cut(nodes.select("node", "row", "part").join(parts, "part"))
+    texts = by_row(kept, members.select("row", "node", "part"))
+    sets = texts.select("node", "part", "text").mapInArrow(tidy(_with_sets(shingle)), "node binary, part binary, shingles array<long>")
+    dealt = sets.join(F.broadcast(parts.where("tiles > 1")) if parts.where("tiles > 1").count() < 10_000 else parts, "part", "left")
+    dealt = dealt.withColumn("tiles", F.coalesce("tiles", F.lit(1))).dropDuplicates(["part", "node"])
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("part", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "node", "shingles")
     dealt = dealt.repartition("part", "left", "right").sortWithinPartitions("part", "left", "right")
-    roots = components(dealt.mapInArrow(tidy(_part_links(similarity)), "a long, b long"))
-    found = prints.select("doc_id", "row", "node").join(roots, "node", "left")
-    return found.select("doc_id", "row", F.coalesce("root", "node").alias("root"))
+    found = components(dealt.mapInArrow(tidy(_part_links(similarity)), "a binary, b binary"))
+    return prints.select("row", "node").join(found, "node", "left").select("row", "node", F.coalesce("root", "node").alias("root"))
+
+
+def by_row(kept: DataFrame, members: DataFrame) -> DataFrame:
+    from tallyforge.llm.rows import small
+
+    return kept.join(small(members), "row")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """One row of each component of near copies, in all columns of docs: that of least doc_id, as of SimHash components."""
-    return least_rows(docs, near_copies(docs, **how))
+    """One row of each component of near copies, in all columns of docs: that of least doc_id, then of least hash.
+
+    Rows without a doc_id come last. Of repeated rows one stays. Texts travel only if rows are dropped by too many keys
+    to be broadcast, and where rows are repeated.
+    """
+    found = cut(near_copies(docs, **how).select("row", "root"))
+    least = found.groupBy("root").agg(F.min("row").alias("row"), F.count("*").alias("size")).where("size > 1")
+    stay = found.groupBy("row").agg(F.count("*").alias("times"))
+    members = found.join(least.select("root", F.col("row").alias("least")), "root")
+    gone = cut(members.where("row <> least").select("row"))
+    again = cut(stay.where("times > 1").select("row"))
+    out = by_keys(docs, gone.union(again), "left_anti")
+    if again.isEmpty():
+        return out
+    twice = by_keys(docs, again.join(gone, "row", "left_anti"), "left_semi")
+    number = unused(docs, "_number")
+    one = F.row_number().over(Window.partitionBy(row_key(F.col("doc_id"), F.col("text"))).orderBy(F.lit(1)))
+    return out.union(twice.withColumn(number, one).where(F.col(number) == 1).drop(number))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.llm.rows import ROW, by_keys, row_key
 from tallyforge.llm.store import cut
 from tallyforge.llm.wordcodes import Words, buffer_of, mixed, rolling, slices
 from tallyforge.llm.workers import text_batches, tidy
@@ -172,7 +173,7 @@ class Ratios:
 
     def score(self, grams: Grams, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each text's log importance, mean log ratio to low quality, and toxic evidence by all and by the other fold."""
-        total = lambda text, x: np.bincount(text, x, minlength=grams.n)
+        total = lambda text, x: np.bincount(text, x, minlength=grams.n).astype(float)  # noqa: E731; counts of nothing are whole numbers
         weight = total(grams.word_text, self.importance[grams.words] + self.importance[grams.again]) + total(grams.shape_text, self.importance[grams.shapes])
         low = total(grams.shape_text, self.low[grams.shapes]) + total(grams.word_text, self.low[grams.again])
         count = np.bincount(grams.shape_text, minlength=grams.n) + np.bincount(grams.word_text, minlength=grams.n)
@@ -227,16 +228,16 @@ def _ordered(x: pd.Series) -> pd.Series:
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """row (a hash of doc_id and text), doc_id, kind (label: 0 none, 1 good, 2 low, 3 toxic) and the three scores of each row."""
+    """row (as row_key() gives it), doc_id, kind (label: 0 none, 1 good, 2 low, 3 toxic) and the three scores of each row."""
     text_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(row_key(docs["doc_id"], docs["text"]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     labels = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     kind = F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 0, 2).otherwise(1)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), kind.alias("kind"))
     part = min(1.0, fit_rows / max(labels.count(), 1))
     labels = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) <= int(part * (1 << 53)))
-    sketched = docs.join(F.broadcast(labels), "doc_id").mapInArrow(tidy(_sketches), "doc_id long, kind int, h long, m0 long, m1 long, m2 long")
+    sketched = docs.drop("row").join(F.broadcast(labels), "doc_id").mapInArrow(tidy(_sketches), "doc_id long, kind int, h long, m0 long, m1 long, m2 long")
     for m in ("m0", "m1", "m2"):
         sketched = sketched.groupBy("kind", m).agg(F.min(F.struct("h", "doc_id", "m0", "m1", "m2")).alias("s")).select("kind", *[F.col(f"s.{c}").alias(c) for c in ("h", "doc_id", "m0", "m1", "m2")])
     fitted = cut(sketched.groupBy("doc_id").agg(F.max("kind").alias("kind")))
@@ -250,8 +251,8 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
             weight, low, toxic, other = ratios.value.score(Grams(batch["text"]), batch["fold"].to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(weight), pa.array(-low), pa.array(toxic), pa.array(other)], ["row", "doc_id", "log_weight", "low_score", "toxic_score", "other_score"])
 
-    schema = "row long, doc_id long, log_weight double, low_score double, toxic_score double, other_score double"
-    out = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text", "fold").mapInArrow(tidy(f), schema)
+    schema = f"row {ROW}, doc_id long, log_weight double, low_score double, toxic_score double, other_score double"
+    out = rows.select("row", "doc_id", "text", "fold").mapInArrow(tidy(f), schema)
     return cut(out.join(F.broadcast(fitted), "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit(0))))
 
 
@@ -265,7 +266,8 @@ def judged(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int =
     no label. Without labels all rows are kept. Of labels of one doc_id the worst counts. Other columns are ignored.
     """
     rows = scored(docs, labels, fit_rows)
-    known = rows.where("kind > 0").select("kind", "low_score", "other_score").toPandas()
+    known = rows.where("kind > 0").groupBy("doc_id").agg(F.min(F.struct("row", "kind", "low_score", "other_score")).alias("r"))  # a row a label
+    known = known.select("r.kind", "r.low_score", "r.other_score").toPandas()
     kind = known["kind"].to_numpy()
     toxic_limit = max(limit(known["other_score"].to_numpy(), kind == 3), 0.0)
     clear = (kind == 1) | (kind == 2)
@@ -280,10 +282,8 @@ def judged(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int =
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs, in all their columns, that judged() keeps."""
-    bad = judged(docs, labels, fit_rows=fit_rows).where("NOT keep").select(F.col("row").alias("_row")).distinct()
-    row = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(bad, row == F.col("_row"), "left_anti")
+    """The rows of docs, in all their columns whatever their names, that judged() keeps."""
+    return by_keys(docs, cut(judged(docs, labels, fit_rows=fit_rows).where("NOT keep").select("row")), "left_anti")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.components import components
+from tallyforge.llm.components import components, with_one
+from tallyforge.llm.rows import ROW, row_key, small
 from tallyforge.llm.store import cut
+from tallyforge.llm.wordcodes import mixed
 from tallyforge.llm.workers import text_batches, tidy
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Blocks of a fingerprint. Of 6, fingerprints at 4 bits or fewer share 2 at least: keys of 21 bits or so.
-BLOCKS = 6
 #: Fingerprints compared with one another at once; larger groups are cut into tiles that meet pairwise.
 TILE = 2048
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -41,7 +41,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text) and fp (the fingerprint as a signed long), a row for each input row.
+    """doc_id, row (as row_key() gives it) and fp (the fingerprint as a signed long), a row for each input row.
 
     Null texts have no words.
     """
@@ -53,7 +53,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
 
     text_batches(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(tidy(f), "doc_id long, row long, fp long")
+    return kept.withColumn("row", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(tidy(f), f"doc_id long, row {ROW}, fp long")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -63,21 +63,20 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(masks, blocks - distance)]
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 def _linked(a: np.ndarray, b: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i of a and j of b (both with a column for each 64 bits) that differ in ``distance`` bits or fewer."""
     step = max(1, (1 << 20) // max(1, len(b)))
     for at in range(0, len(a), step):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= distance)
+        apart = np.zeros((len(a[at : at + step]), len(b)), np.uint16)
+        for x, y in zip(a[at : at + step].T, b.T, strict=True):
+            apart += np.bitwise_count(x[:, None] ^ y[None, :])
+        i, j = np.nonzero(apart <= distance)
         yield i + at, j
 
 
-def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between a and b; b may be a itself."""
-    nodes = np.concatenate([a, b])
-    root = np.arange(len(nodes))
+def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between a and b; b may be a itself. Indexes from len(a) on are b's."""
+    root = np.arange(len(a) + len(b))
     for i, j in _linked(a, b, distance):
         while True:  # each round points roots at lesser roots
             x, y = root[i], root[j + len(a)]
@@ -88,105 +87,135 @@ def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]
             np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
             while (root != root[root]).any():
                 root = root[root]
-    child = np.flatnonzero(root != np.arange(len(nodes)))
-    return list(zip(nodes[child].tolist(), nodes[root[child]].tolist(), strict=True))
+    child = np.flatnonzero(root != np.arange(len(root)))
+    return child, root[child]
+
+
+def as_numbers(column: pa.Array, lanes: int) -> np.ndarray:
+    """Fingerprints (longs, or bytes of 8 * lanes) as a row of numbers of 64 bits each."""
+    if pa.types.is_integer(column.type):  # bits of signed numbers are counted without the sign
+        return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), lanes)
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    if a.shape[1] == 1:
+        columns = [pa.array(x[:, 0].view(np.int64)) for x in (a, b)]
+    else:
+        columns = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (a, b)]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
 
-def _bucket_links(distance: int):
+def _bucket_links(distance: int, lanes: int):
     """Links within each group of rows of one (key, tile pair); rows come sorted by these."""
 
-    def links(key: np.ndarray, left: np.ndarray, right: np.ndarray, side: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+    def links(key: np.ndarray, left: np.ndarray, right: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         new = np.append(True, (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(key)))
         two = at[(size == 2) & (left[at] == right[at])]
-        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
-        out = list(zip(fp[near].tolist(), fp[near + 1].tolist(), strict=True))
+        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1, dtype=np.int64) <= distance]
+        out = [(near, near + 1)]
         for s, n in zip(at.tolist(), size.tolist(), strict=True):
             if n > 2 or n == 2 and left[s] != right[s]:
                 some, where = fp[s : s + n], side[s : s + n]
                 if left[s] == right[s]:
-                    out += _forest(some, some, distance)
+                    pair = np.tile(np.arange(n), 2)
+                    child, root = _forest(some, some, distance)
                 else:
-                    out += _forest(some[where == left[s]], some[where == right[s]], distance)
-        return out
+                    pair = np.concatenate([np.flatnonzero(where == left[s]), np.flatnonzero(where == right[s])])
+                    child, root = _forest(some[where == left[s]], some[where == right[s]], distance)
+                out.append((pair[child] + s, pair[root] + s))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return _edges(fp[a], fp[b])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        names = ["key", "left", "right", "side", "fp"]
+        names = ["key", "left", "right", "side"]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch[c].to_numpy(zero_copy_only=False) for c in names]
-            now[4] = now[4].view(np.uint64)  # bits of signed numbers are counted without the sign
+            now = [*(batch[c].to_numpy(zero_copy_only=False) for c in names), as_numbers(batch["fp"], lanes)]
             if rest is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(rest, now, strict=True)]
             same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
             cut_at = int(np.argmax(same))  # the last group may go on in the next batch
             rest = [x[cut_at:] for x in now]
             if cut_at:
-                yield _edges(links(*[x[:cut_at] for x in now]))
+                yield links(*[x[:cut_at] for x in now])
         if rest is not None:
-            yield _edges(links(*rest))
+            yield links(*rest)
 
     return f
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    ends = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+def block_links(prints: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], lanes: int, distance: int, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between fingerprints of column fp: a spanning forest of the true links of each group of equal keys.
 
-
-def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of column fp: a spanning forest of each block group's true links.
-
-    Groups of over ``tile`` fingerprints are cut into tiles by hash; each pair of tiles is compared as a group of its
-    own, so no task holds more than two tiles of a group, and no link is lost. Pairs are never written out.
+    keys_of: fingerprints as rows of numbers to a row of keys each. Groups of over ``tile`` fingerprints are cut into
+    tiles by hash; each pair of tiles is compared as a group of its own, so no task holds more than two tiles of a group,
+    and no link is lost. Pairs are never written out.
     """
-    masks = F.array(*[F.lit(_signed(m)) for m in block_masks(distance, blocks)])
-    keyed = prints.select("fp").distinct().select("fp", F.posexplode(masks).alias("k", "mask"))
-    keyed = keyed.select("fp", F.xxhash64("k", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    dealt = keyed.join(hot, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = keys_of(as_numbers(batch["fp"], lanes)) if batch.num_rows else np.zeros((0, 1), np.int64)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch["fp"].take(at), pa.array(keys.ravel().astype(np.int64))], ["fp", "key"])
+
+    kind = prints.schema["fp"].dataType.simpleString()
+    keyed = prints.select("fp").mapInArrow(tidy(spread), f"fp {kind}, key long")
+    counted = keyed.groupBy("key").count().where(F.col("count") > tile)
+    hot = cut(counted.select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
+    dealt = keyed.join(small(hot), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "fp")
     dealt = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return dealt.mapInArrow(tidy(_bucket_links(distance)), "a long, b long")
+    return dealt.mapInArrow(tidy(_bucket_links(distance, lanes)), f"a {kind}, b {kind}")
+
+
+def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None, tile: int = TILE) -> DataFrame:
+    """Links between distinct fingerprints (longs) of column fp that differ in ``distance`` bits or fewer.
+
+    Fingerprints are cut into ``blocks`` blocks, by default so many as the count of fingerprints asks for. Those within the
+    distance agree in all blocks but ``distance`` at least, so each choice of the others gives a key.
+    """
+    prints = cut(prints.select("fp").distinct())
+    masks = np.array(block_masks(distance, blocks or blocks_for(prints.count(), distance, tile)), np.uint64)
+
+    def keys(fp: np.ndarray) -> np.ndarray:
+        return mixed((fp & masks) + (np.arange(len(masks), dtype=np.uint64) << np.uint64(56)) ^ mixed(masks)).view(np.int64)
+
+    return block_links(prints, keys, 1, distance, tile)
+
+
+def blocks_for(count: int, distance: int, tile: int) -> int:
+    """The least number of blocks whose keys leave groups of ``tile`` at most, where fingerprints are spread evenly."""
+    blocks = distance + 2
+    while blocks < 4 * distance and count >> (64 * (blocks - distance) // blocks) > tile // 2:
+        blocks += 1
+    return blocks
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """doc_id, fp, component_id, row, root for each row of docs.
 
-    component_id is the least doc_id of the row's component, root its least fingerprint, row a hash of doc_id and text.
+    component_id is the least doc_id of the row's component, root its least fingerprint, row as row_key() gives it.
 
     Rows link if their fingerprints differ in ``distance`` bits or fewer; equal fingerprints always link, those of texts
     without words (null or blank: fingerprint 0) included. Rows without a doc_id link like others but name no component,
     unless all of its rows lack one: then component_id is null. Other columns of docs are ignored.
     """
     prints = cut(with_fingerprints(docs, shingle))
-    roots = components(near_links(prints, distance, blocks, tile))
+    roots = cut(components(near_links(prints, distance, blocks, tile)).withColumnRenamed("node", "fp"))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(classes.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "component_id", "row", "root")
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """One row of each component, in all columns of docs: that of least doc_id, then of least hash of its text.
-
-    Rows without a doc_id come last. Of repeated rows one stays.
-    """
-    return least_rows(docs, near_duplicates(docs, **how))
-
-
-def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs that stand for the roots of found (doc_id, row, root)."""
-    least = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row")).alias("least"))
-    chosen = least.select(F.col("least.row").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(chosen, "_row")
-    keyed = keyed.withColumn("_number", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    return keyed.where("_number = 1").select(*[keyed[c] for c in docs.columns])
+    linked = cut(classes.join(roots, "fp"))
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    linked = with_one(linked, least, "root", F.col("n")).select("fp", "root", "component_id")
+    alone = classes.join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    named = cut(linked.union(alone).join(prints.groupBy("fp").agg(F.count("*").alias("n")), "fp"))
+    return with_one(prints, named, "fp", F.col("n")).select("doc_id", "fp", "component_id", "row", "root")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

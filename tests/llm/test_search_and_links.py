@@ -65,9 +65,12 @@ def test_simhash(spark, tile):
     docs = spark.createDataFrame(rows, DOCS)
     got = sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash_dedup.near_duplicates(docs, tile=tile).collect()), key=repr)
     assert got == sorted(((i, brute_print(t), least.get(roots[brute_print(t)])) for i, t, _ in rows), key=repr)
-    kept = simhash_dedup.one_of_each(docs, tile=tile)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([*least.values(), None], key=repr)
+
+
+def test_blocks_grow_with_the_count():
+    assert simhash_dedup.blocks_for(1000, 4, 2048) == 6
+    many = simhash_dedup.blocks_for(10**10, 4, 2048)
+    assert 6 < many and 10**10 >> (64 * (many - 4) // many) <= 1024
 
 
 def test_simhash_of_nothing(spark):
@@ -90,23 +93,43 @@ def test_nearest(spark):
     rows += [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [None] * 16), (1080, [float("inf")] + [0.0] * 15), (None, [1.0] * 16), (1100, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = {}
-    for r in vector_search.nearest(df, k=5, every=20, block=150, query_block=7).orderBy("query_id", "rank").collect():
+    for r in vector_search.nearest(df, k=5, every=20, block=150, query_block=7, share=1.0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     want = {q: v for q, v in nearest_by_brute(rows, 20, 5).items() if v}
-    assert got == want  # blocks this small are searched whole
+    assert got == want
     assert vector_search.nearest(df.limit(0)).collect() == []
 
 
-def test_recall_of_the_forest():
+@pytest.mark.parametrize(("n", "most"), [(500, 0.65), (2000, 0.5), (6000, 0.4)])
+def test_recall_of_the_forest(n, most):
     rng = np.random.default_rng(6)
-    rows = rng.standard_normal((6000, 32))
+    rows = rng.standard_normal((n, 64)) * rng.choice([1e-30, 1.0, 1e30], (n, 1))
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-    ids = np.arange(6000)
-    asked = ids[::100]
-    got = vector_search._nearest(rows[asked], asked, rows, ids, 20, vector_search.TREES, vector_search.BITS, vector_search.SHARE, 1)
+    ids, share = np.arange(n), vector_search.wanted_of(n, 20)
+    asked = ids[::20]
+    got = vector_search._nearest(rows[asked], asked, rows, ids, 20, share)
+    counts = [len(found) for _, found in vector_search.Forest(rows).candidates(rows[asked], int(share * n))]
+    assert min(counts) >= int(share * n) and sum(counts) <= most * n * len(asked)  # the forest answers, not a scan
     hits = 0
     for q in asked:
         scores = rows @ rows[q]
         scores[q] = -9
         hits += len(set(np.argsort(-scores)[:20]) & set(got[got["query_id"] == q]["vec_id"]))
     assert hits >= 0.9 * 20 * len(asked)
+
+
+def test_forest_in_spark(spark):
+    rng = np.random.default_rng(7)
+    rows = rng.standard_normal((900, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = vector_search.nearest(df, k=10, block=300).collect()
+    true = nearest_by_brute([(i, v.tolist()) for i, v in enumerate(rows)], 20, 10)
+    assert sum(r.vec_id in true[r.query_id] for r in got) >= 0.9 * 10 * len(true)
+    assert all(r.score == pytest.approx(float(rows[r.query_id] @ rows[r.vec_id])) for r in got)
+
+
+def test_large_vectors_with_small_products():
+    rows = np.array([[1e8, 0.0], [1e8, 1e-3], [-1e8, 2e-3], [1e8, 3e-3], [1e200, 1e-3]] * 20)
+    rows[:, 1] += np.arange(100) * 1e-6
+    got = vector_search._nearest(np.array([[0.0, 1.0]]), np.array([-1]), rows, np.arange(100), 5, 1.0)
+    assert list(got["vec_id"]) == np.argsort(-rows[:, 1], kind="stable")[:5].tolist()

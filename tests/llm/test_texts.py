@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import decontamination, mixing, quality, secret_scan, token_file, url_filter
 
-DOCS = "doc_id long, text string, row string"
+DOCS = "doc_id long, text string, _row string"
 ITEMS = "item_id long, text string, hits string"
 
 
@@ -64,7 +64,8 @@ def test_decontamination(spark):
 
 
 def test_decontamination_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_DOCS", 0)
     docs, items = contaminated()
     got = decontamination.judged(spark.createDataFrame([(*d, "x") for d in docs], DOCS), spark.createDataFrame([(*i, "x") for i in items], ITEMS)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got), key=repr) == judged_by_brute(docs, items)
@@ -243,10 +244,53 @@ def test_mixing(spark):
     assert all(abs(taken[k] - want[k]) <= 1 for k in want)
     assert sum(t < 0 for t in taken.values()) == 0
     out = mixing.mixture(docs)
-    assert out.columns == docs.columns and out.count() >= sum(bool(r.taken) for r in got)
+    assert out.columns == docs.columns
+    lengths = sorted(len((r.text or "").split()) for r in out.collect())
+    assert lengths == sorted(t.tokens for r in got for t in r.taken)  # a document cut by its leaf's budget ends there
     assert mixing.mixture(docs.limit(0)).collect() == []
 
 
+def test_mixing_takes_documents_by_brute_order(spark):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randrange(1, 30), "en", "src1") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    leaves = mixing.leaf_columns(docs).withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), F.lit(0), "row"), 1))
+    order = sorted((r.h, r.doc_id, r.tokens) for r in leaves.collect())
+    left, want = sum(t for *_, t in order) // 2, {}
+    for _, i, t in order:
+        if left > 0:
+            want[i] = min(t, left)
+            left -= t
+    taken = {r.doc_id: r.taken[0].tokens for r in mixing.mixed(mixing.leaf_columns(docs), mixing.WEIGHTS).collect() if r.taken}
+    assert taken == want
+
+
+def test_first_tokens(spark):
+    df = spark.createDataFrame([(" a  b\tc ", 2), ("a", 1), ("x y", 5)], "text string, n long")
+    assert [r[0] for r in df.select(mixing.first_tokens(F.col("text"), F.col("n"))).collect()] == [" a  b", "a", "x y"]
+
+
+NAMES = ["doc_id", "text", "lang", "source", "n_chars", "_row", "_number", "_time", "_times", "row", "root", "tokens", "taken", "whole", "_h", "doc", "Hits", "a b", "x.y"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from tallyforge.llm import near_copies
+
+    rows = [(i, t, "en", "src1", 1, *[f"v{i}"] * 14) for i, t in [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, None), (None, "x"), (3, "very other words in here")]]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in NAMES))
+    items = spark.createDataFrame([(1, "very other")], "item_id long, text string")
+    marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    want = {"quality": 5, "near": 4, "clean": 4, "mix": None}
+    got = {"quality": quality.kept_rows(docs, marks), "near": near_copies.one_of_each(docs), "clean": decontamination.clean(docs, items), "mix": mixing.mixture(docs)}
+    for name, df in got.items():
+        out = df.collect()
+        assert df.columns == NAMES
+        assert want[name] is None or len(out) == want[name]
+        assert all(set(r[5:]) == {f"v{r.doc_id}"} for r in out)
+        empty = {"quality": quality.kept_rows(docs.limit(0), marks), "near": near_copies.one_of_each(docs.limit(0)), "clean": decontamination.clean(docs.limit(0), items), "mix": mixing.mixture(docs.limit(0))}[name]
+        assert empty.collect() == []
+
+
 def test_digest_of_no_items(spark):
     docs = spark.createDataFrame([(1, "a b c", "")], DOCS)
     row = decontamination.judged(docs, spark.createDataFrame([(1, "x y", "")], ITEMS)).select(F.sha2(F.array_join("items", ","), 256).alias("d")).first()
