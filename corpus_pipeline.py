@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import decontamination, mixing, near_copies, quality, token_file
-from tallyforge.llm.store import shared_folder
+from tallyforge.llm.store import new_folder, remove
 
 #: Words whose ids a worker keeps in the last stage; fewer than op5 keeps, as workers hold memory of the other stages.
 CACHED_WORDS = 160_000
@@ -20,7 +19,7 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five words, similarity of 0.8 or more)."""
+    """One document of each component of near copies: SimHash blocks, checked at five words and a similarity of 0.8."""
     return near_copies.one_of_each(docs)
 
 
@@ -30,7 +29,7 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents from which the mixture takes tokens, once for each epoch."""
+    """Documents from which the mixture takes tokens, once for each epoch, cut where a budget ends."""
     return mixing.mixture(docs)
 
 
@@ -41,7 +40,7 @@ def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", _quality),
-    ("near-dedup", _near_dedup),
+    ("simhash near-dedup", _near_dedup),
     ("benchmark decontamination", _decontaminate),
     ("source mixing", _mix),
     ("token output", _tokens),
@@ -52,9 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for number, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{out}/{number}")
-        docs = spark.read.parquet(f"{out}/{number}")
+    """The last stage's rows. The folder of a stage goes once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        out = new_folder(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+        if before:
+            remove(spark, before)
+        before = out
     return docs
