@@ -17,12 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.repeats import Chunk, ExactRepeats, Parts, distinct
-from tallyforge.llm.store import cut
 from tallyforge.llm.wordcodes import rolling
 from tallyforge.llm.workers import tidy
 
 #: Words of the least repeat; of a minimiser's gram; grams from which it is the least; words by which suffixes sort.
-WINDOW, GRAM, WIDTH, HEAD = 50, 6, 25, 26
+WINDOW, GRAM, WIDTH, HEAD = 50, 6, 35, 16
 #: Bytes of a head that are kept as they are; of a longer one the rest is a digest, so that a row stays short.
 HEAD_BYTES = 1024
 
@@ -61,32 +60,23 @@ def heads(own: Chunk, at: np.ndarray, head: int) -> list[bytes]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted run of suffixes (head, chunk, at): those whose head is a neighbour's. Rows with a head in place of
-    null are the run's first and last ones without such a neighbour; theirs may be in the run before or after."""
-    last, found = None, False  # the last row so far, and whether it equals the one before
-    start = True
-
-    def rows(table: pa.RecordBatch, head: pa.Array | None) -> pa.RecordBatch:
-        head = pa.nulls(table.num_rows, pa.binary()) if head is None else head
-        return pa.RecordBatch.from_arrays([table["chunk"], table["at"], head], ["chunk", "at", "head"])
+    """Of a sorted run of suffixes (head, chunk, at): chunk and at of those whose head is a neighbour's.
 
+    The run's first and last row may have their neighbour in the run before or after, so they always count: extension then
+    finds what they share, if anything.
+    """
+    last, found = None, True  # the last row so far, and whether it counts already
     for batch in batches:
         if not batch.num_rows:
             continue
         whole = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks().to_batches()[0]
-        key = whole["head"]
-        same = pc.equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+        same = pc.equal(whole["head"][1:], whole["head"][:-1]).to_numpy(zero_copy_only=False)
         live = np.append(found, same) | np.append(same, False)
-        if start and not live[0] and whole.num_rows > 1:
-            yield rows(whole.slice(0, 1), key[:1])
-        if whole.num_rows > 1:
-            start = False
         found = bool(live[-1])
-        done = whole.slice(0, whole.num_rows - 1)
-        yield rows(done.filter(pa.array(live[:-1])), None)
+        yield whole.slice(0, whole.num_rows - 1).filter(pa.array(live[:-1])).select(["chunk", "at"])
         last = whole.slice(whole.num_rows - 1)
     if last is not None:
-        yield rows(last, None if found else last["head"])
+        yield last.select(["chunk", "at"])
 
 
 class SuffixArray:
@@ -110,10 +100,7 @@ class SuffixArray:
         """(chunk, at) of the suffixes that have their first words in common with a neighbour."""
         order = ["head", "chunk", "at"]
         array = self.suffixes(docs, parts).repartitionByRange(*order).sortWithinPartitions(*order)
-        found = cut(array.mapInArrow(tidy(_neighbours), "chunk int, at int, head binary"))
-        edges = found.where("head IS NOT NULL")
-        many = edges.groupBy("head").count().where("count > 1").select("head")
-        return found.where("head IS NULL").select("chunk", "at").union(edges.join(many, "head", "left_semi").select("chunk", "at"))
+        return array.mapInArrow(tidy(_neighbours), "chunk int, at int")
 
     def places(self, own: Chunk, rows: pa.Table, parts: Parts) -> np.ndarray:
         return np.unique(rows["at"].to_numpy()).astype(np.int64)
