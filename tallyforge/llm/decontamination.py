@@ -28,9 +28,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), _BREAKS), "")
 
 
-def lowered(word: Column) -> Column:
-    """A-Z to a-z and nothing else; lower() is much the faster where a word is ASCII."""
-    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
+def lowered(text: Column) -> Column:
+    """A-Z to a-z and nothing else; lower() is much the faster where a text is ASCII."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def text_key(doc_id: Column, text: Column) -> Column:
@@ -40,14 +40,12 @@ def text_key(doc_id: Column, text: Column) -> Column:
 
 def postings(docs: DataFrame) -> DataFrame:
     """The positional index of docs (doc_id, text): doc (text_key), pos (from 0), term."""
-    at = docs.select(text_key(docs["doc_id"], docs["text"]).alias("doc"), F.posexplode(words_of(docs["text"])).alias("pos", "word"))
-    return at.select("doc", "pos", lowered(F.col("word")).alias("term"))
+    return docs.select(text_key(docs["doc_id"], docs["text"]).alias("doc"), F.posexplode(words_of(lowered(docs["text"]))).alias("pos", "term"))
 
 
 def query_terms(items: DataFrame) -> DataFrame:
     """item_id, words (lowered) of each item that has any; repeated rows once."""
-    words = F.transform(words_of(items["text"]), lowered)
-    return items.select(F.col("item_id"), words.alias("words")).where(F.size("words") > 0).distinct()
+    return items.select(F.col("item_id"), words_of(lowered(items["text"])).alias("words")).where(F.size("words") > 0).distinct()
 
 
 def plans(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
@@ -77,7 +75,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     items = cut(query_terms(items))
     terms = cut(items.select(F.explode("words").alias("term")).distinct().withColumn("t", F.xxhash64("term")))
     at = new_folder(spark, "postings")
-    postings(docs).join(_small(terms), "term").select("doc", "pos", "t").write.parquet(at)
+    hashed = postings(docs).select("doc", "pos", F.xxhash64("term").alias("t"))  # terms that share one by chance are told apart below
+    hashed.join(_small(terms.select("t").distinct()), "t").select("doc", "pos", "t").write.parquet(at)
     index = spark.read.parquet(at)
     frequency = index.groupBy("t").agg(F.count("*").alias("n")).join(terms, "t").select("term", "n")
     plan = cut(plans(items, cut(frequency), window).withColumn("plan", F.xxhash64("item_id", "words", "first", "second", "lo")))
@@ -91,9 +90,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     found = met.join(_small(plan.select("plan", "item_id", "words", "lo", "hi", "length")), "plan")
     found = cut(found.groupBy("doc").agg(F.collect_list(F.struct("item_id", "words", "lo", "hi", "length", "shifts")).alias("found")))
     out = docs.withColumn("doc", text_key(F.col("doc_id"), F.col("text"))).join(small(found, BROADCAST_DOCS), "doc")
-    out = out.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), words_of(F.col("text")).alias("words"), "found")
-    out = out.withColumn("low", F.transform("words", lowered))
-    out = out.select("row", F.size("words").cast("long").alias("n_words"), F.expr(_VERIFIED).alias("hits")).where(F.size("hits") > 0)
+    out = out.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), words_of(lowered(F.col("text"))).alias("low"), "found")
+    out = out.select("row", F.size("low").cast("long").alias("n_words"), F.expr(_VERIFIED).alias("hits")).where(F.size("hits") > 0)
     return cut(out.dropDuplicates(["row"]))
 
 

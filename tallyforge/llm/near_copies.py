@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.components import components
-from tallyforge.llm.rows import ROW, by_keys, row_key, unused
+from tallyforge.llm.components import components, with_one
+from tallyforge.llm.rows import ROW, by_keys, row_key, small, unused
 from tallyforge.llm.simhash_dedup import block_links
 from tallyforge.llm.store import cut
 from tallyforge.llm.wordcodes import Words, buffer_of, mixed, rolling, slices
@@ -82,11 +82,12 @@ class Shingles:
         self.values, owner = value[new], owner[new]
         self.first = np.searchsorted(owner, np.arange(n + 1))
 
-    def nodes(self) -> list[bytes]:
-        """A 128-bit hash of each text's words."""
+    def nodes(self) -> np.ndarray:
+        """Two 64-bit hashes of each text's words; zeros for a text without."""
         words, data = self.words, self.words.data.tobytes()
         bounds = zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)
-        return [xxhash.xxh3_128_digest(b" ".join(data[words.starts[a] : words.ends[b - 1]].split())) if b > a else b"" for a, b in bounds]
+        raw = [xxhash.xxh3_128_digest(b" ".join(data[words.starts[a] : words.ends[b - 1]].split())) if b > a else bytes(16) for a, b in bounds]
+        return np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
 
     def fingerprints(self, lanes: int) -> np.ndarray:
         """A row of ``lanes`` numbers of 64 bits for each text: a bit is set that over half of its codes set."""
@@ -110,16 +111,23 @@ def block_values(prints: np.ndarray, shape: Shape) -> np.ndarray:
 
 
 def with_prints(docs: DataFrame, shape: Shape, shingle: int) -> DataFrame:
-    """row, node (a 128-bit hash of the words), n (distinct shingles) and fp (the fingerprint's bytes) of docs (row, text)."""
+    """row, node and other (two hashes of the words), n (distinct shingles) and fp (the fingerprint's bytes) of docs (row, text)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             found = Shingles(batch["text"], shingle)
             prints = [x.tobytes() for x in found.fingerprints(shape.lanes).astype("<u8")]
-            columns = [batch["row"], pa.array(found.nodes(), pa.binary()), pa.array(np.diff(found.first), pa.int64()), pa.array(prints, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "node", "n", "fp"])
+            node, other = (pa.array(x) for x in np.ascontiguousarray(found.nodes().T))
+            columns = [batch["row"], node, other, pa.array(np.diff(found.first), pa.int64()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "node", "other", "n", "fp"])
 
-    return docs.mapInArrow(tidy(f), f"row {ROW}, node binary, n long, fp binary")
+    found = cut(docs.mapInArrow(tidy(f), f"row {ROW}, node long, other long, n long, fp binary"))
+    # words that share one hash by chance: the second tells them apart
+    odd = found.groupBy("node").agg(F.min("other").alias("_least"), F.max("other").alias("_most")).where("_least <> _most").select("node", "_least")
+    if odd.isEmpty():
+        return found.drop("other")
+    marked = found.join(odd, "node", "left")
+    return cut(marked.withColumn("node", F.when(F.col("other") != F.col("_least"), F.xxhash64("node", "other")).otherwise(F.col("node"))).drop("other", "_least"))
 
 
 def _with_sets(shingle: int):
@@ -127,7 +135,7 @@ def _with_sets(shingle: int):
         for batch in (part for whole in batches for part in slices(whole)):
             found = Shingles(batch["text"], shingle)
             sets = pa.ListArray.from_arrays(pa.array(found.first, pa.int32()), pa.array(found.values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["part"], sets], ["node", "part", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["part"], batch["tiles"], sets], ["node", "part", "tiles", "shingles"])
 
     return f
 
@@ -164,7 +172,7 @@ def _part_links(similarity: float):
     """Links within each part (left and right are its tiles); rows come sorted by part, left and right."""
 
     def edges(pairs: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets = None, [], []
@@ -175,6 +183,8 @@ def _part_links(similarity: float):
                 if key != (part, left, right):
                     out += similar(nodes, sets, similarity)
                     key, nodes, sets = (part, left, right), [], []
+                if nodes and nodes[-1] == node:
+                    continue  # a repeated row
                 nodes.append(node)
                 sets.append(shingles.values.to_numpy(zero_copy_only=False).copy())
             yield edges(out)
@@ -197,33 +207,25 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     text_batches(docs.sparkSession)
     kept = docs.select(row_key(docs["doc_id"], docs["text"]).alias("row"), F.col("text").cast("string").alias("text"))
     shape = Shape.of(kept.count(), similarity)
-    prints = cut(with_prints(kept, shape, shingle))
+    prints = with_prints(kept, shape, shingle)
     links = block_links(prints.where("n > 0").select("fp").distinct(), lambda p: block_values(p, shape), shape.lanes, shape.distance)
-    roots = components(links)
+    key = lambda c: F.xxhash64(c)  # noqa: E731; a fingerprint's number: two that share one by chance only are compared more
+    roots = components(links.select(key("a").alias("a"), key("b").alias("b")))
     # parts of several texts: linked fingerprints, or one of several texts
-    nodes = prints.groupBy("fp", "node").agg(F.min("row").alias("row"), F.first("n").alias("n")).where("n > 0")
-    nodes = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("part", F.coalesce("root", "fp"))
+    nodes = prints.where("n > 0").groupBy(key("fp").alias("fp"), "node").agg(F.min("row").alias("row"), F.first("n").alias("n"))
+    nodes = cut(nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", "row", "n", F.coalesce("root", "fp").alias("part")))
     parts = nodes.groupBy("part").agg(F.count("*").alias("size"), F.ceil(F.sum("n") / tile).cast("int").alias("tiles"))
-    parts = cut(parts.where("size > 1").drop("size"))
-    members = cut(nodes.select("node", "row", "part").join(parts, "part"))
-    texts = by_row(kept, members.select("row", "node", "part"))
-    sets = texts.select("node", "part", "text").mapInArrow(tidy(_with_sets(shingle)), "node binary, part binary, shingles array<long>")
-    dealt = sets.join(F.broadcast(parts.where("tiles > 1")) if parts.where("tiles > 1").count() < 10_000 else parts, "part", "left")
-    dealt = dealt.withColumn("tiles", F.coalesce("tiles", F.lit(1))).dropDuplicates(["part", "node"])
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    members = with_one(nodes, parts.where("size > 1").drop("size"), "part", "node").select("node", "row", "part", "tiles")
+    texts = kept.join(small(cut(members)), "row")
+    sets = texts.select("node", "part", "tiles", "text").mapInArrow(tidy(_with_sets(shingle)), "node long, part long, tiles int, shingles array<long>")
+    dealt = sets.withColumn("side", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("part", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "node", "shingles")
-    dealt = dealt.repartition("part", "left", "right").sortWithinPartitions("part", "left", "right")
-    found = components(dealt.mapInArrow(tidy(_part_links(similarity)), "a binary, b binary"))
+    dealt = dealt.repartition("part", "left", "right").sortWithinPartitions("part", "left", "right", "node")
+    found = components(dealt.mapInArrow(tidy(_part_links(similarity)), "a long, b long"))
     return prints.select("row", "node").join(found, "node", "left").select("row", "node", F.coalesce("root", "node").alias("root"))
 
 
-def by_row(kept: DataFrame, members: DataFrame) -> DataFrame:
-    from tallyforge.llm.rows import small
-
-    return kept.join(small(members), "row")
-
-
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """One row of each component of near copies, in all columns of docs: that of least doc_id, then of least hash.
 

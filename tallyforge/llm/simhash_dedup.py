@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components, with_one
-from tallyforge.llm.rows import ROW, row_key, small
+from tallyforge.llm.rows import ROW, row_key
 from tallyforge.llm.store import cut
 from tallyforge.llm.wordcodes import mixed
 from tallyforge.llm.workers import text_batches, tidy
@@ -166,8 +166,8 @@ def block_links(prints: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray],
     kind = prints.schema["fp"].dataType.simpleString()
     keyed = prints.select("fp").mapInArrow(tidy(spread), f"fp {kind}, key long")
     counted = keyed.groupBy("key").count().where(F.col("count") > tile)
-    hot = cut(counted.select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
-    dealt = keyed.join(small(hot), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    hot = counted.select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    dealt = keyed.join(hot, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"), "side", "fp")
@@ -208,14 +208,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     unless all of its rows lack one: then component_id is null. Other columns of docs are ignored.
     """
     prints = cut(with_fingerprints(docs, shingle))
-    roots = cut(components(near_links(prints, distance, blocks, tile)).withColumnRenamed("node", "fp"))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = cut(classes.join(roots, "fp"))
-    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
-    linked = with_one(linked, least, "root", F.col("n")).select("fp", "root", "component_id")
-    alone = classes.join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
-    named = cut(linked.union(alone).join(prints.groupBy("fp").agg(F.count("*").alias("n")), "fp"))
-    return with_one(prints, named, "fp", F.col("n")).select("doc_id", "fp", "component_id", "row", "root")
+    roots = components(near_links(prints, distance, blocks, tile)).withColumnRenamed("node", "fp")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left")
+    linked = cut(classes.where("root IS NOT NULL"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = with_one(linked, least, "root", "fp").select("fp", "root", "component_id")
+    alone = classes.where("root IS NULL").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return prints.join(linked.union(alone), "fp").select("doc_id", "fp", "component_id", "row", "root")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 NEAREST, TREES, BITS, SEED = 20, 256, 24, 11
 #: Candidates of a query: this many times the power POWER of the number of rows, over all blocks together. Chosen so
 #: that of vectors that point anywhere, the hardest case, 0.9 of the nearest 20 are found at any number of rows.
-TIMES, POWER = 1.75, 0.8
+TIMES, POWER = 1.9, 0.8
 #: Rows of a block of candidates and of queries; every block of queries meets every block of candidates in one task.
 BLOCK, QUERY_BLOCK = 8192, 4096
 QUERY_EVERY = 20
@@ -58,26 +58,27 @@ class Forest:
     def candidates(self, queries: np.ndarray, wanted: int) -> Iterator[tuple[int, np.ndarray]]:
         """(query, its rows): at least ``wanted`` rows, or all, from the longest common prefixes on.
 
-        All trees ascend together, a level a round; a round holds the queries that still lack candidates.
+        All trees ascend together, a level a round; a round holds the queries that still lack candidates. On its last level a
+        query takes tree after tree and stops at the wanted number.
         """
-        wanted = min(wanted, self.n)
+        wanted = max(1, min(wanted, self.n))
         codes, left = self._codes(queries), np.arange(len(queries))
         base = (np.arange(self.trees) * self.n)[:, None]
-        level = min(self.bits, max(0, int(math.log2(self.trees * self.n / max(wanted, 1))) + 3))
+        level = min(self.bits, max(0, int(math.log2(self.trees * self.n / wanted)) + 2))
+        below = np.zeros((2, self.trees, len(queries)), np.int64)
         while len(left):
             low, high = self.ranges(codes[:, left], level)
-            sizes = high - low
             enough = np.zeros(len(left), bool)
-            for i in np.flatnonzero(sizes.sum(0) >= wanted).tolist():
-                many = sizes[:, i]
-                at = np.repeat(low[:, i] + base[:, 0] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                seen = np.zeros(self.n, bool)
-                seen[self.order[at]] = True
-                found = np.flatnonzero(seen)
+            for i in np.flatnonzero((high - low).sum(0) >= wanted).tolist():
+                starts = np.concatenate([below[0, :, i], low[:, i]])
+                many = np.concatenate([below[1, :, i] - below[0, :, i], high[:, i] - low[:, i]])
+                at = np.repeat(starts + np.tile(base[:, 0], 2) - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                found, first = np.unique(self.order[at], return_index=True)
                 if len(found) >= wanted or not level:
                     enough[i] = True
-                    yield int(left[i]), found
+                    yield int(left[i]), found[first <= np.partition(first, wanted - 1)[wanted - 1]] if len(found) > wanted else found
             left = left[~enough]
+            below = np.stack([low[:, ~enough], high[:, ~enough]])
             level -= 1
 
 
