@@ -30,6 +30,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Chance that a pair at the similarity shares no block; deviations by which it may differ in more bits than expected;
 #: fingerprints that share a block's value by chance, about; least and most bits of a block.
 MISSED, DEVIATIONS, BY_CHANCE, BITS = 0.005, 4.0, 500, (6, 24)
+#: Bytes of text whose shingles a worker holds at once.
+SLICE = 1 << 19
 #: Shingles compared at once, about 2,000 documents of common length; larger groups are cut into tiles that meet pairwise.
 TILE = 500_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,7 +116,7 @@ def with_prints(docs: DataFrame, shape: Shape, shingle: int) -> DataFrame:
     """row, node and other (two hashes of the words), n (distinct shingles) and fp (the fingerprint's bytes) of docs (row, text)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, most=SLICE)):
             found = Shingles(batch["text"], shingle)
             prints = [x.tobytes() for x in found.fingerprints(shape.lanes).astype("<u8")]
             node, other = (pa.array(x) for x in np.ascontiguousarray(found.nodes().T))
@@ -132,7 +134,7 @@ def with_prints(docs: DataFrame, shape: Shape, shingle: int) -> DataFrame:
 
 def _with_sets(shingle: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, most=SLICE)):
             found = Shingles(batch["text"], shingle)
             sets = pa.ListArray.from_arrays(pa.array(found.first, pa.int32()), pa.array(found.values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch["node"], batch["part"], batch["tiles"], sets], ["node", "part", "tiles", "shingles"])

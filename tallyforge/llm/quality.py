@@ -35,6 +35,8 @@ FIT_ROWS, SHARE, SEED = 100_000, 0.5, 23
 WEIGHT, SURE = 3.0, 1.5
 #: Distinct words added to a text's when its toxic evidence is divided by them.
 EASE = 20
+#: Bytes of text whose n-grams a worker holds at once.
+SLICE = 1 << 20
 #: Counts travel in pieces of so many buckets.
 PIECE = 1 << 13
 
@@ -88,7 +90,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums[model] = np.zeros(SIZE + 1, np.int64)
         sums[model] += np.bincount(values, minlength=SIZE + 1)
 
-    for batch in (part for whole in batches for part in slices(whole)):
+    for batch in (part for whole in batches for part in slices(whole, most=SLICE)):
         grams = Grams(batch["text"])
         kind = batch["kind"].to_numpy(zero_copy_only=False)
         fold = batch["fold"].to_numpy(zero_copy_only=False)
@@ -112,7 +114,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, kind, a hash of the words and three min-hashes of their 3-grams, which near copies mostly share."""
-    for batch in (part for whole in batches for part in slices(whole)):
+    for batch in (part for whole in batches for part in slices(whole, most=SLICE)):
         words = Words(batch["text"])
         codes, grams = words.codes(), words.window_starts(3)
         text = np.searchsorted(words.first, grams, "right") - 1
@@ -247,7 +249,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     ratios = docs.sparkSession.sparkContext.broadcast(Ratios.of(models))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, most=SLICE)):
             weight, low, toxic, other = ratios.value.score(Grams(batch["text"]), batch["fold"].to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(weight), pa.array(-low), pa.array(toxic), pa.array(other)], ["row", "doc_id", "log_weight", "low_score", "toxic_score", "other_score"])
 
