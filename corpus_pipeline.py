@@ -10,7 +10,7 @@ from tallyforge.llm import decontamination, mixing, near_copies, quality, token_
 from tallyforge.llm.store import new_folder, remove
 
 #: Words whose ids a worker keeps in the last stage; fewer than op5 keeps, as workers hold memory of the other stages.
-CACHED_WORDS = 160_000
+CACHED_WORDS = 120_000
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
