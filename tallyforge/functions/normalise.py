@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Aliases of inspection methods and results.
-METHOD_ALIASES = {"VT": "VT", "VISUAL": "VT", "PT": "PT", "PENETRANT": "PT", "MT": "MT", "MAGNETIC": "MT", "RT": "RT", "RADIOGRAPHY": "RT", "UT": "UT", "ULTRASONIC": "UT"}
-RESULT_ALIASES = {"A": "ACC", "ACC": "ACC", "ACCEPT": "ACC", "ACCEPTED": "ACC", "OK": "ACC", "R": "REJ", "REJ": "REJ", "REJECT": "REJ", "REJECTED": "REJ"}
-#: Cyrillic letters that look like Latin ones, and digits that scanners take for letters.
-LOOKALIKES = ("АВЕКМНОРСТХ", "ABEKMHOPCTX")
-DIGIT_SLIPS = ("IlOS", "1105")
-
-
+# The names of methods and results, and what else they are called.
+METHOD_NAMES = {
+    "VT": ("VT", "VMC", "Visual", "Visual Test", "Visual and Measuring", "육안", "육안검사"),
+    "RT": ("RT", "방사선", "방사선투과", "Radiographic", "Radiography"),
+    "UT": ("UT", "초음파", "초음파탐상", "Ultrasonic", "Ultrasonic Test"),
+    "PT": ("PT", "침투", "침투탐상", "Liquid Penetrant", "Dye Penetrant"),
+    "MT": ("MT", "자분", "자분탐상", "Magnetic Particle"),
+}
+RESULT_NAMES = {
+    "ACC": ("A", "ACC", "Accept", "Accepted", "합격", "OK", "PASS"),
+    "REJ": ("R", "REJ", "Reject", "Rejected", "불합격", "NG", "FAIL"),
+    "PENDING": ("P", "PEND", "Pending", "보류", "재검사"),
+}
 def match_key(c: Column) -> Column:
     """Trimmed, without a leading "no.", upper case, without blanks, hyphens and underscores."""
     return F.upper(F.translate(F.regexp_replace(F.trim(c), r"(?i)^no\.\s*", ""), " -_", ""))
@@ -23,19 +28,19 @@ def squeezed(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"\s+", ""))
 
 
-def _alias(c: Column, known: dict[str, str]) -> Column:
-    key = F.upper(F.trim(c))
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, key), key)
+def named(c: Column, names: dict[str, tuple[str, ...]]) -> Column:
+    """The name that a text stands for, white space and case aside; any other text trimmed, in upper case."""
+    pairs = [F.lit(x) for name, others in names.items() for other in others for x in ("".join(other.split()).lower(), name)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), squeezed(c)), F.upper(F.trim(c)))
 
 
-def method(c: Column) -> Column:
+def method(c: Column, names: dict[str, tuple[str, ...]] | None = None) -> Column:
     """A method's canonical name; unknown ones in trimmed upper case."""
-    return _alias(c, METHOD_ALIASES)
+    return named(c, names or METHOD_NAMES)
 
 
-def result(c: Column) -> Column:
-    return _alias(c, RESULT_ALIASES)
+def result(c: Column, names: dict[str, tuple[str, ...]] | None = None) -> Column:
+    return named(c, names or RESULT_NAMES)
 
 
 def report_number(c: Column) -> Column:
@@ -61,7 +66,8 @@ def drawing_body(c: Column) -> Column:
 
 def code_key(c: Column) -> Column:
     """A standard's code without language suffix, blanks, dots, hyphens and underscores, in upper case."""
-    return F.upper(F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)[_.-](r|e|k|rus|eng|kor)$", ""), r"[\s._-]+", ""))
+    bare = F.regexp_replace(c, r"(?i)_(?:en|ru|kor|kr|eng|jp|cn)$", "")
+    return F.upper(F.regexp_replace(bare, r"[\s._-]+", ""))
 
 
 def scope_segment(c: Column) -> Column:
@@ -136,15 +142,99 @@ def percent_off(expected: Column, found: Column) -> Column:
 
 
 def request_key(*parts: Column) -> Column:
-    """Key of an idempotent request."""
-    return F.sha2(F.concat_ws("\u0001", *parts), 256)
+    """Key of an idempotent request. Parts keep their places: a missing one is not the same as a blank one or none."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+
+
+#: A string of JSON, or a comment outside of one, or a comma before a closing bracket.
+_STRING_OR = r'("(?:[^"\\]|\\.)*")|'
+
+
+def mended_json(c: Column) -> Column:
+    """Text of JSON without comments and without commas before a closing bracket; what lies in strings stays as it is."""
+    plain = F.regexp_replace(c, _STRING_OR + r"//[^\n]*|(?s:/\*.*?\*/)", "$1")
+    return F.regexp_replace(plain, _STRING_OR + r",(?=\s*[}\]])", "$1")
 
 
 def lenient_json(c: Column, schema: str) -> Column:
-    """A JSON object in bare text, in a fenced block, or between the outermost braces; trailing commas are dropped."""
+    """A JSON object in bare text, in a fenced block, or between the outermost braces; each as it is, then mended."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    mended = F.regexp_replace(braces, r",\s*([}\]])", "$1")
-    options = {"mode": "PERMISSIVE"}
-    tries = [F.when(F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema, options)) for x in (c, fenced, braces, mended)]
-    return F.coalesce(*tries)
+    tries = [x for text in (c, fenced, braces) for x in (text, mended_json(text))]
+    return F.coalesce(*[F.when(F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema, {"mode": "PERMISSIVE"})) for x in tries])
+
+
+def canonical_json(c: Column) -> Column:
+    """A flat JSON object's text with its members in the order of their names, for request_key()."""
+    members = F.map_entries(F.from_json(c, "map<string,string>"))
+    return F.to_json(F.map_from_entries(F.array_sort(members)))
+
+
+def without_unit(c: Column) -> Column:
+    """A code in upper case without the two digits of its unit, where a letter follows them."""
+    code = F.upper(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+    return F.when(code.rlike("^[0-9]{2}[A-Z]"), F.substring(code, 3, 1_000_000)).otherwise(code)
+
+
+def building_of_drawing(c: Column) -> Column:
+    """The building in a drawing's number: the unit's digit and the building's letters; null if there is none."""
+    part = lambda i: F.regexp_extract(c, r"NP\.[DС]\.[A-Z0-9]{4}\.([0-9])\.([0-9][A-Z]{3})", i)
+    return F.nullif(F.concat(part(1), part(2)), F.lit(""))
+
+
+def unit_of(c: Column) -> Column:
+    """The unit, the fourth dotted part of a document number, if it is a number."""
+    part = F.get(F.split(c, r"\."), F.lit(3))
+    return F.when(part.rlike("^[0-9]+$"), part)
+
+
+def set_revision(revisions: Column) -> Column:
+    """The label of a set from its map of type to revision: DC, SD, BG and DK in this order, those there are, a dash for a blank."""
+    label = lambda t: F.concat(F.lit(f"{t}="), F.coalesce(F.nullif(F.trim(F.try_element_at(revisions, F.lit(t))), F.lit("")), F.lit("-")))
+    return F.concat_ws(",", *[F.when(F.map_contains_key(revisions, t), label(t)) for t in ("DC", "SD", "BG", "DK")])
+
+
+def table_value(c: Column) -> Column:
+    """A cell's value for comparison: lower case, no blanks, one kind of dash (also for ~) and of multiplication sign."""
+    return F.translate(F.lower(F.trim(c)), "—–~−×* ", "----xx")
+
+
+def codes_named(c: Column) -> Column:
+    """The distinct names of codes in a text (letters, number, perhaps a year), lower case without blanks, sorted."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z]{2,6}\s*[0-9.]{2,}(?:[-–][0-9]+)?"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, squeezed)))
+
+
+def thickness_of(dims: Column) -> Column:
+    """thickness() of the last of a list of dimensions."""
+    return thickness(F.element_at(F.when(F.size(dims) > 0, dims), -1))
+
+
+# Families of codes in the order in which they are tried, and the pattern of each.
+CODE_FAMILIES = {
+    "NP": r"\bNP-?\d{3}(?:-\d{2,4})\b",
+    "PNAE": r"(?i)\bPNAE[\s-]*[A-Z]?[\s-]*\d+(?:[\s-]*\d+)*",
+    "GOST": r"\bGOST\s+(?:ISO\s+)?\d{2,5}[\-\.\d]*",
+    "TU": r"(?i)\bTU\s+\d{1,3}[-\.\s\d/]{3,}",
+    "ASME": r"(?i)\bASME\s+(?:Sec(?:tion)?\.?[\s\d]*(?:Div\.?\s*\d+)?|B\d+(?:\.\d+)?|Code\s+Case)\s*[^\n,]{0,30}",
+    "RCC-M": r"(?i)\bRCC-M[\s-]*[A-Z]?[\s\d\-\.]{0,20}",
+    "ISO": r"\bISO\s+\d{2,5}[\-\d]*",
+    "EN": r"\bEN\s+\d{2,5}[\-\d]*",
+    "KS": r"\bKS\s+[A-Z]\s*\d{2,5}",
+}
+
+
+def code_family(c: Column) -> Column:
+    """The first family whose pattern a text holds; null if none."""
+    return F.coalesce(*[F.when(c.rlike(pattern), F.lit(name)) for name, pattern in CODE_FAMILIES.items()])
+
+
+def is_date(c: Column) -> Column:
+    """Whether a text is a day that exists in one of the four forms that the checks of fields accept."""
+    forms = ("yyyy-M-d", "d.M.yyyy", "yyyy/M/d", "d/M/yyyy")
+    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in forms]).isNotNull()
+
+
+def line_code(c: Column) -> Column:
+    """A line's code for comparison: upper case, no white space, I, L and | as 1, O as 0."""
+    return F.translate(F.upper(F.regexp_replace(c, r"\s+", "")), "IL|O", "1110")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.normalise import revision
+from tallyforge.functions.normalise import revision, revision_rank
 
 
 def superseded(sets: DataFrame, key: str, created: str, *tie: str) -> DataFrame:
@@ -56,3 +56,43 @@ def cited_revision(asked: DataFrame, sets: DataFrame, key: str) -> DataFrame:
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def by_prefix(asked: DataFrame, column: str, at: str, sets: DataFrame, number: str, created: str, value: str) -> DataFrame:
+    """asked with ``number``, ``value`` and ``tier`` of the set in force at ``at`` for a drawing number, or nulls.
+
+    Tier 1: the set of exactly this number. Tier 2: of the longest known number that this one begins with. Tier 3: of the
+    first known number (in the order of numbers) that begins with this one. Within a tier the newest set created at or before
+    ``at`` counts (any, where ``at`` is null); a number without one in force is passed over. Beginnings are found by joins on
+    equality: of texts exploded into their prefixes.
+    """
+    texts = asked.select(F.col(column).alias("_text"), F.col(at).alias("_at")).where(F.col(column) != "").distinct()
+    known = sets.select(F.col(number).alias("_number"), F.col(created).alias("_created"), F.col(value).alias("_value")).where("_number <> ''")
+    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.substr(c, F.lit(1), i))
+    down = texts.select("_text", "_at", F.explode(prefixes(F.col("_text"))).alias("_number")).join(known, "_number")
+    down = down.withColumn("_tier", F.when(F.col("_number") == F.col("_text"), 1).otherwise(2)).withColumn("_order", -F.char_length("_number"))
+    up = known.where("length(_number) > 1").withColumn("_text", F.explode(F.slice(prefixes(F.col("_number")), F.lit(1), F.char_length("_number") - 1)))
+    up = up.join(texts, "_text").withColumn("_tier", F.lit(3)).withColumn("_order", F.lit(0))
+    every = down.select("_text", "_at", "_tier", "_order", "_number", "_created", "_value").union(up.select("_text", "_at", "_tier", "_order", "_number", "_created", "_value"))
+    rank = F.struct("_tier", "_order", "_number", (-F.unix_micros(F.col("_created").cast("timestamp"))).alias("_age"), "_value")
+    best = every.where("_at IS NULL OR _created <= _at").groupBy("_text", "_at").agg(F.min(rank).alias("_b"))
+    best = best.select("_text", "_at", F.col("_b._number").alias(number), F.col("_b._value").alias(value), F.col("_b._tier").alias("tier"))
+    return asked.join(best, F.col("_text").eqNullSafe(F.col(column)) & F.col("_at").eqNullSafe(F.col(at)), "left").drop("_text", "_at")
+
+
+def grouped_files(files: DataFrame, keys: list[str], revision_column: str, place: str) -> DataFrame:
+    """One row for each key: the file of the highest revision rank, of equal ones the first by ``place``, and collisions.
+
+    collisions: an array of (existing_rev, new_rev, chosen_rev), one for each further file in the order in which they came.
+    """
+    rest = [c for c in files.columns if c not in keys]
+    rows = files.withColumn("_rank", revision_rank(F.col(revision_column)))
+    every = F.array_sort(F.collect_list(F.struct(F.col(place).alias("_place"), F.col("_rank"), F.col(revision_column).alias("_rev"), F.struct(*rest).alias("_row"))))
+    fold = lambda acc, x: F.struct(
+        F.when(x["_rank"] > acc["best"]["_rank"], x).otherwise(acc["best"]).alias("best"),
+        F.array_append(acc["seen"], F.struct(acc["best"]["_rev"].alias("existing_rev"), x["_rev"].alias("new_rev"), F.when(x["_rank"] > acc["best"]["_rank"], x["_rev"]).otherwise(acc["best"]["_rev"]).alias("chosen_rev"))).alias("seen"),
+    )
+    rows = rows.groupBy(*keys).agg(every.alias("_every"))
+    out = rows.withColumn("_first", F.struct(F.get("_every", F.lit(0)).alias("best"), F.array().cast("array<struct<existing_rev:string,new_rev:string,chosen_rev:string>>").alias("seen")))
+    out = out.withColumn("_f", F.aggregate(F.slice("_every", 2, 1_000_000), F.col("_first"), fold))
+    return out.select(*keys, "_f.best._row.*", F.col("_f.seen").alias("collisions"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.normalise import match_key
@@ -12,46 +14,64 @@ RULES = (("report_no",), ("joint_no", "ndt_method"), ("joint_no", "ndt_method",
 JOINT_FIELDS = ("joint_no", "welder_id")
 
 
-def candidates(reports: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """report_id, and the rule's fields: of one row of joints, or of the report itself if it has all joint fields."""
-    inner = [f for f in fields if f in JOINT_FIELDS]
-    if not inner or all(f in reports.columns for f in inner):
-        return reports.select("report_id", *fields)
-    joints = reports.select("report_id", *[f for f in fields if f not in inner], F.explode("joints").alias("_joint"))
-    return joints.select("report_id", *[F.col(f"_joint.{f}").alias(f) if f in inner else F.col(f) for f in fields])
+def _keys(of, ordinal: int, fields: tuple[str, ...]) -> Column:
+    """struct(rule, key) if all fields are given, else null. ``of``: a field's column."""
+    keys = [match_key(of(f).cast("string")) for f in fields]
+    given = reduce(lambda x, y: x & y, [F.coalesce(k != "", F.lit(False)) for k in keys])
+    return F.when(given, F.struct(F.lit(ordinal).alias("rule"), F.concat_ws("\x1f", *keys).alias("key")))
+
+
+def _joint_keys(own, ordinal: int, fields: tuple[str, ...], inner: list[str]):
+    return lambda j: _keys(lambda f: j[f] if f in inner else own(f), ordinal, fields)
+
+
+def report_keys(reports: DataFrame, rules=RULES) -> DataFrame:
+    """rule, key, single, report_id: each key that a rule can find reports by; ``single`` if just one report has it.
+
+    Joint fields must come from one row of joints; a report that has all of a rule's joint fields itself is taken by these.
+    The least report_id of a key is kept. Reports are read once and reduced to a row a key, so no claim meets two reports.
+    """
+    here = {c.lower() for c in reports.columns}
+    own = lambda f: F.col(f) if f in here else F.lit(None).cast("string")
+    listed = []
+    for ordinal, fields in enumerate(rules, 1):
+        inner = [f for f in fields if f in JOINT_FIELDS]
+        top = _keys(own, ordinal, fields)
+        if not inner:
+            listed.append(F.array(top))
+            continue
+        has = reduce(lambda x, y: x & y, [F.coalesce(F.trim(own(f).cast("string")) != "", F.lit(False)) for f in inner])
+        rows = F.transform("joints", _joint_keys(own, ordinal, fields, inner)) if "joints" in here else F.array(top)
+        listed.append(F.when(has, F.array(top)).otherwise(rows))
+    every = F.array_distinct(F.array_compact(F.flatten(F.array_compact(F.array(*listed)))))
+    rows = reports.select("report_id", F.explode(every).alias("_k")).select("report_id", "_k.*")
+    one = rows.groupBy("rule", "key").agg(F.min("report_id").alias("report_id"), F.max("report_id").alias("_last"))
+    return one.select("rule", "key", (F.col("report_id") == F.col("_last")).alias("single"), "report_id")
 
 
 def rule_hits(items: DataFrame, reports: DataFrame, rules=RULES) -> DataFrame:
-    """item_id, rule (its ordinal from 1), n_reports and the least report_id of the reports that a rule finds.
+    """item_id, rule (its ordinal from 1), single and the least report_id of the reports that a rule finds.
 
     Keys are normalised; a rule is skipped where one is blank. A report counts once per claim and rule.
     """
-    out = None
-    for ordinal, fields in enumerate(rules, 1):
-        keys = [match_key(F.col(f)).alias(f"_{f}") for f in fields]
-        given = lambda df, fields=fields: df.where(" AND ".join(f"_{f} <> ''" for f in fields))
-        left = given(items.select("item_id", *keys))
-        right = given(candidates(reports, fields).select("report_id", *keys)).distinct()
-        found = left.join(right, [f"_{f}" for f in fields]).groupBy("item_id").agg(F.count("report_id").alias("n_reports"), F.min("report_id").alias("report_id"))
-        found = found.select("item_id", F.lit(ordinal).alias("rule"), "n_reports", "report_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    every = F.array_compact(F.array(*[_keys(F.col, i, fields) for i, fields in enumerate(rules, 1)]))
+    asked = items.select("item_id", F.explode(every).alias("_k")).select("item_id", "_k.*")
+    return asked.join(report_keys(reports, rules), ["rule", "key"]).drop("key")
 
 
 def match_reports(items: DataFrame, reports: DataFrame, rules=RULES) -> DataFrame:
     """item_id, rule, report_id, score: by the first rule that finds exactly one report; claims without one are left out."""
-    one = rule_hits(items, reports, rules).where("n_reports = 1")
-    best = one.groupBy("item_id").agg(F.min(F.struct("rule", "report_id")).alias("_best"))
+    best = rule_hits(items, reports, rules).where("single").groupBy("item_id").agg(F.min(F.struct("rule", "report_id")).alias("_best"))
     return best.select("item_id", F.col("_best.rule").alias("rule"), F.col("_best.report_id").alias("report_id"), F.lit(100).alias("score"))
 
 
 def ambiguity(items: DataFrame, reports: DataFrame, rules=RULES) -> DataFrame:
-    """rule, outcome (none, one, many), n_items over all claims."""
-    hits = rule_hits(items, reports, rules)
-    every = items.select("item_id").crossJoin(F.broadcast(items.sparkSession.createDataFrame([(i + 1,) for i in range(len(rules))], "rule int")))
-    joined = every.join(hits, ["item_id", "rule"], "left")
-    outcome = F.when(F.col("n_reports").isNull(), "none").when(F.col("n_reports") == 1, "one").otherwise("many")
-    return joined.groupBy("rule", outcome.alias("outcome")).agg(F.count("*").alias("n_items"))
+    """rule, outcome (none, one, many), n_items over all claims; a claim that lacks a rule's key has none."""
+    hits = rule_hits(items, reports, rules).groupBy("rule").agg(F.count(F.when(F.col("single"), 1)).alias("one"), F.count(F.when(~F.col("single"), 1)).alias("many"))
+    total = items.agg(F.count("*").alias("n")).withColumn("rule", F.explode(F.array(*[F.lit(i + 1) for i in range(len(rules))])))
+    rows = total.join(hits, "rule", "left").na.fill(0)
+    outcomes = F.array(*[F.struct(F.lit(k).alias("outcome"), v.alias("n_items")) for k, v in (("none", F.col("n") - F.col("one") - F.col("many")), ("one", F.col("one")), ("many", F.col("many")))])
+    return rows.select("rule", F.explode(outcomes).alias("_o")).select("rule", "_o.*").where("n_items > 0")
 
 
 def top_candidates(scored: DataFrame, item: str, candidate: str, k: int = 5) -> DataFrame:
@@ -62,7 +82,26 @@ def top_candidates(scored: DataFrame, item: str, candidate: str, k: int = 5) ->
 
 
 def escalated(ranked: DataFrame, gap: float = 10.0, hold: float = 5.0, judge: bool = True) -> DataFrame:
-    """The first candidate of each claim with ``decision``: take, judge (gap below ``gap``), or hold if there is no judge."""
+    """The first candidate of each claim with ``decision`` and ``reasoning``: take; judge, where the gap to the next is below
+    ``gap``; or, without a judge, hold where it is below ``hold``, with the reason in words."""
     first = ranked.where("rank = 1")
-    close = F.col("gap") < (gap if judge else hold)
-    return first.withColumn("decision", F.when(close, "judge" if judge else "hold").otherwise("take"))
+    close = F.coalesce(F.col("gap") < (gap if judge else hold), F.lit(False))
+    reasoning = F.when(close & F.lit(not judge), F.format_string("candidates are less than %s apart; held for the reviewer", F.lit(f"{hold:g}")))
+    return first.withColumn("decision", F.when(close, "judge" if judge else "hold").otherwise("take")).withColumn("reasoning", reasoning)
+
+
+def judged(ranked: DataFrame, judgements: DataFrame, item: str, candidate_no: str) -> DataFrame:
+    """The candidate that the judge names for each claim sent to it, or none: a row a claim, candidate columns null if none.
+
+    judgements: ``item``, matched_report_no (null: no match). Of candidates with the same number the best ranked counts.
+    """
+    first = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(item, candidate_no).orderBy("rank"))).where("_n = 1").drop("_n")
+    asked = judgements.select(item, F.col("matched_report_no").alias(candidate_no))
+    return asked.join(first, [item, candidate_no], "left")
+
+
+def for_judge(candidates: DataFrame) -> DataFrame:
+    """The fields of a candidate that a judge sees."""
+    # Their names.
+    keep = ("report_no", "joint_no", "ndt_method", "welder_id", "inspection_date", "result", "score")
+    return candidates.select(*[c for c in candidates.columns if c in keep or c in ("item_id", "rank")])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.normalise import is_date, method
+
 # Weight and class of each finding, in the order of evaluation.
 FINDINGS = {
     "drawing_no_is_ke_misentry": (45, "suspect"),
@@ -42,31 +44,132 @@ def basis_finding(state: Column) -> Column:
     return out
 
 
-def compliance(rows: DataFrame) -> DataFrame:
-    """rows (drawing_no, report_id, required, ndt_method, basis_state, set_flagged, ...) with ``findings``.
+#: Checks that can be switched off.
+SWITCHES = {
+    "check_billed_ndt_in_requirements": True,
+    "check_required_ndt_present": True,
+    "require_submitted_basis": True,
+    "require_conditional_schema": True,
+    "never_claim_on_empty_drawing_requirement": True,
+    "never_claim_on_flagged_drawing_set": True,
+}
+
+
+def _plain(c: Column) -> Column:
+    return F.upper(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+
+
+def joint_field(joints: Column, joint_no: Column, field: str) -> Column:
+    """A field of the report's joint of this number; of its only joint if the claim names none; else null."""
+    named = F.get(F.filter(joints, lambda j: _plain(j["joint_no"]) == _plain(joint_no)), F.lit(0))[field]
+    only = F.when(F.size(joints) == 1, F.get(joints, F.lit(0))[field])
+    return F.when(_plain(joint_no) != "", named).otherwise(only)
+
+
+def is_misentry(drawing_no: Column) -> Column:
+    """Whether a drawing number names a procedure: one of its dotted parts is KE, in any case."""
+    return F.array_contains(F.split(_plain(drawing_no), r"\."), "KE")
+
 
-    required null: the requirement couldn't be read; an empty array requires nothing. A flagged set never confirms.
+def overbill_claim(state: Column, reason: Column, required: Column, flagged: Column, switches: dict[str, bool] | None = None) -> Column:
+    """struct(rule, reason) for a billed method that the drawing doesn't ask for, by the state of its basis.
+
+    Only no_basis_found, on a drawing whose requirements were read, aren't empty and aren't flagged, is a hard finding.
+    """
+    on = SWITCHES | (switches or {})
+    state, reason = F.coalesce(state, F.lit("not_submitted")), reason
+    if not on["require_submitted_basis"]:
+        state, reason = F.lit("no_basis_found"), F.lit("gate_disabled")
+    elif not on["require_conditional_schema"]:
+        state = F.when((state == "not_submitted") & (reason == "scwep_legacy_schema"), "no_basis_found").otherwise(state)
+    block = F.lit(None).cast("string")
+    if on["never_claim_on_flagged_drawing_set"]:
+        block = F.when(F.coalesce(flagged, F.lit(False)), "drawing_set_flagged")
+    if on["never_claim_on_empty_drawing_requirement"]:
+        block = F.when(F.size(required) == 0, "drawing_requirement_empty").otherwise(block)
+    blocked = (state == "no_basis_found") & block.isNotNull()
+    return F.struct(basis_finding(F.when(blocked, "not_submitted").otherwise(state)).alias("rule"), F.when(blocked, block).otherwise(reason).alias("reason"))
+
+
+def compliance(rows: DataFrame, switches: dict[str, bool] | None = None) -> DataFrame:
+    """rows with ``findings`` (names in order), ``claim_reason``, ``still_required``, ``extra_method`` and ``refs_of``.
+
+    rows: drawing_no, joint_no, ndt_method, result, welder_id, report_id, report_drawing_no, joints (of the report: array of
+    structs with joint_no, result, welder_id), required (methods; null: the joint has no requirement or it couldn't be read; an
+    empty array requires nothing), set_flagged, basis_state, basis_reason, and flags reference_flagged, violations,
+    corrected, failed. Columns that aren't there count as null. Methods of both sides are brought to their canonical names.
+    refs_of: claim where the basis' own references go with the row, authority where the requirement is missing.
     """
-    billed = F.trim(F.coalesce("ndt_method", F.lit(""))) != ""
-    outside = billed & F.col("required").isNotNull() & ~F.array_contains("required", F.col("ndt_method"))
-    state = F.when(F.col("set_flagged") & (F.col("basis_state") == "no_basis_found"), "unclear").otherwise(F.col("basis_state"))
-    gate = basis_finding(state)
-    others = F.size(F.array_except("required", F.array("ndt_method"))) > 0
+    on = SWITCHES | (switches or {})
+    here = {c.lower() for c in rows.columns}
+    get = lambda name, kind="string": F.col(name) if name in here else F.lit(None).cast(kind)
+    needed = F.array_distinct(F.filter(F.transform(get("required", "array<string>"), lambda m: method(m)), lambda m: F.coalesce(m != "", F.lit(False))))
+    rows = rows.withColumn("_billed", method(get("ndt_method"))).withColumn("_needed", needed)
+    billed, needed = F.col("_billed"), F.col("_needed")
+    has = F.coalesce(billed, F.lit("")) != ""
+    outside = has & needed.isNotNull() & ~F.array_contains(needed, F.coalesce(billed, F.lit("")))
+    rows = rows.withColumn("_claim", overbill_claim(get("basis_state"), get("basis_reason"), needed, get("set_flagged", "boolean"), on))
+    claim = F.col("_claim")
+    others = F.array_sort(F.array_except(needed, F.array(F.coalesce(billed, F.lit("")))))
+    joints = get("joints", "array<struct<joint_no:string,result:string,welder_id:string>>")
+    fields = {f.name for f in rows.schema["joints"].dataType.elementType.fields} if "joints" in here else set()
+    missing = F.col("report_id").isNull()
     known = {
-        "drawing_no_is_ke_misentry": F.array_contains(F.split(F.upper("drawing_no"), r"\."), "KE"),
-        "no_matching_report": F.col("report_id").isNull(),
-        "drawing_requirement_missing": F.col("required").isNull(),
-        "required_ndt_missing": billed & F.col("required").isNotNull() & others,
+        "drawing_no_is_ke_misentry": is_misentry(get("drawing_no")) | is_misentry(get("report_drawing_no")),
+        "no_matching_report": missing,
+        "drawing_requirement_missing": needed.isNull(),
+        "low_confidence_code_ref": get("reference_flagged", "boolean"),
+        "rule_engine_violation": get("violations", "boolean"),
+        "ocr_auto_corrected": get("corrected", "boolean"),
+        "pipeline_row_failed": get("failed", "boolean"),
     }
-    known |= {name: outside & (gate == name) for name in ("billed_ndt_not_in_requirements", *CEILINGS)}
-    for name, pair in (("result_mismatch", ("result", "report_result")), ("welder_mismatch", ("welder_id", "report_welder"))):
-        if all(c in rows.columns for c in pair):
-            one, two = (F.upper(F.trim(c)) for c in pair)
-            known[name] = (one != "") & (two != "") & (one != two)
-    for name, flag in (("low_confidence_code_ref", "reference_flagged"), ("rule_engine_violation", "violations"), ("ocr_auto_corrected", "corrected"), ("pipeline_row_failed", "failed")):
-        if flag in rows.columns:
-            known[name] = F.col(flag)
-    return rows.withColumn("findings", findings(known))
+    if on["check_billed_ndt_in_requirements"]:
+        known |= {name: outside & (claim["rule"] == name) for name in ("billed_ndt_not_in_requirements", *CEILINGS)}
+    if on["check_required_ndt_present"]:
+        known["required_ndt_missing"] = has & (F.coalesce(F.size(others), F.lit(0)) > 0)
+    for name, field in (("result_mismatch", "result"), ("welder_mismatch", "welder_id")):
+        if field in fields and field in here:
+            found = joint_field(joints, get("joint_no"), field)
+            known[name] = ~missing & (_plain(F.col(field)) != "") & (_plain(found) != "") & (_plain(F.col(field)) != _plain(found))
+    out = rows.withColumn("findings", findings(known))
+    gated = F.coalesce(outside, F.lit(False)) & F.lit(on["check_billed_ndt_in_requirements"])
+    return out.withColumns({
+        "claim_reason": F.when(gated, claim["reason"]),
+        "still_required": F.when(has, others),
+        "extra_method": F.when(gated, billed),
+        "refs_of": F.when(needed.isNull(), "authority").when(gated, "claim"),
+    }).drop("_billed", "_needed", "_claim")
+
+
+def scope_drawing(drawing_no: Column, report_drawing_no: Column) -> Column:
+    """The number by which the scope of procedure documents is told: the claim's, else the report's; none if either is KE."""
+    return F.when(~(is_misentry(drawing_no) | is_misentry(report_drawing_no)), first_given(drawing_no, report_drawing_no))
+
+
+def first_given(*columns: Column) -> Column:
+    """The first that isn't blank."""
+    return F.coalesce(*[F.when(F.trim(c.cast("string")) != "", c) for c in columns])
+
+
+def report_values(report: dict[str, Column], extracted: Column) -> list[Column]:
+    """A report's fields: the table's own value where it isn't blank, else that of the extracted JSON."""
+    return [first_given(value.cast("string"), F.get_json_object(extracted, f"$.{name}")).alias(name) for name, value in report.items()]
+
+
+def match_reasons(report_id: Column, how: Column, score: Column, discrepancies: Column) -> Column:
+    """Why a match needs a look: array of texts. discrepancies: array of struct(field, billing_value, report_value, severity)."""
+    high = F.transform(F.filter(F.coalesce(discrepancies, F.array().cast("array<struct<field:string,billing_value:string,report_value:string,severity:string>>")), lambda d: d["severity"] == "high"),
+                       lambda d: F.concat(F.lit("differs: "), d["field"], F.lit(" ("), F.coalesce(d["billing_value"], F.lit("-")), F.lit(" / "), F.coalesce(d["report_value"], F.lit("-")), F.lit(")")))
+    low = F.when((how == "fuzzy") & (score < 90), F.concat(F.lit("low score "), F.format_number(score, "0.0")))
+    said = F.when(how == "llm", "judged by a model")
+    return F.when(report_id.isNull(), F.array(F.lit("no report matched"))).otherwise(F.concat(F.array_compact(F.array(low, said)), high))
+
+
+def tagged(**reasons: Column) -> Column:
+    """All reasons (arrays, null for none) in one array, each with its origin in brackets."""
+    none = F.array().cast("array<string>")
+    with_origin = lambda origin: lambda r: F.concat(F.lit(f"[{origin}] "), r)
+    return F.concat(*[F.transform(F.coalesce(c, none), with_origin(origin)) for origin, c in reasons.items()])
 
 
 def risk(names: Column, weights: dict[str, int] | None = None) -> Column:
@@ -123,6 +226,106 @@ def within(c: Column, low: float, high: float) -> Column:
     return c.try_cast("double").between(low, high)
 
 
+# Enumerations, patterns and ranges of the checks of fields.
+NDT_METHODS = ("VT", "PT", "MT", "RT", "UT", "VMC")
+RESULTS = ("ACC", "REJ", "PENDING", "A", "R", "P")
+SAFETY_CLASSES = ("1", "2", "3", "4", "1N", "2N", "3N", "4N")
+SEISMIC_CATEGORIES = ("I", "II", "III")
+DRAWING_NO = r"^NP\.[A-Z]\.[A-Z0-9]+\.\d+\.[A-Z0-9&]+\.\d+\.(DC|SD|BG|KE)\.\d+\.[A-Z](?:_C\d+)?$"
+REPORT_NO = r"(?i)^\d{1,3}-\d{1,4}\s?(VT|PT|MT|RT|UT|VMC)$"
+KKS_CODE = r"^\d{2}[A-Z]{2,4}\d{0,3}[A-Z0-9]{0,6}$"
+JOINT_NO = r"(?i)^[A-Z]{1,4}\d{1,5}[A-Z]?$"
+WELDER_TOKEN = r"(?i)^[A-Z]{1,4}\d{1,4}$"
+PRESSURE, TEMPERATURE, PERCENT = (0.0, 50.0), (-50.0, 800.0), (0.0, 100.0)
+MATRIX_FIELDS = ("vt_pct", "pt_or_mt_pct", "rt_pct", "ut_pct", "auxiliary_vt_pct", "auxiliary_pt_or_mt_pct")
+
+
+def _failed(field: Column, value: Column, rule: str, expected: str, level: str, bad: Column) -> Column:
+    return F.when(value.isNotNull() & F.coalesce(bad, F.lit(True)), F.struct(field.alias("field"), value.cast("string").alias("raw_value"), F.lit(rule).alias("rule"), F.lit(expected).alias("expected"), F.lit(level).alias("severity")))
+
+
+def _name(field: str | Column) -> Column:
+    return F.lit(field) if isinstance(field, str) else field
+
+
+def enum_check(field, value: Column, allowed: tuple[str, ...]) -> Column:
+    return _failed(_name(field), value, "enum_violation", "one of " + ", ".join(sorted(allowed)), "high", ~F.upper(F.trim(value.cast("string"))).isin(*allowed))
+
+
+def pattern_check(field, value: Column, pattern: str, expected: str, level: str = "medium") -> Column:
+    return _failed(_name(field), value, "regex_violation", expected, level, ~F.trim(value.cast("string")).rlike(pattern))
+
+
+def range_check(field, value: Column, low: float, high: float) -> Column:
+    """No number: type_violation, high; NaN or a number outside: range_violation, medium."""
+    number = value.cast("string").try_cast("double")
+    outside = _failed(_name(field), value, "range_violation", f"{low:g} to {high:g}", "medium", F.isnan(number) | ~number.between(low, high))
+    return F.when(value.isNotNull() & number.isNull(), _failed(_name(field), value, "type_violation", "a number", "high", F.lit(True))).otherwise(outside)
+
+
+def date_check(field, value: Column) -> Column:
+    return _failed(_name(field), value, "date_format_violation", "a day", "high", ~is_date(value.cast("string")))
+
+
+def welder_check(field, value: Column) -> Column:
+    """One violation for a value with any token that is no welder's id; blank is none."""
+    bad = F.exists(F.split(F.trim(value), r"\s+"), lambda t: ~t.rlike(WELDER_TOKEN))
+    return _failed(_name(field), F.when(F.trim(value) != "", value), "welder_token_pattern", "letters and digits", "low", bad)
+
+
+def billing_violations(row) -> Column:
+    """Violations of a claim's fields, in their order. ``row``: a function from a field's name to its column."""
+    return F.array_compact(F.array(
+        enum_check("ndt_method", row("ndt_method"), NDT_METHODS), enum_check("result", row("result"), RESULTS),
+        pattern_check("report_no", row("report_no"), REPORT_NO, "a report number"), pattern_check("drawing_no", row("drawing_no"), DRAWING_NO, "a drawing number"),
+        pattern_check("joint_no", row("joint_no"), JOINT_NO, "a joint number", "low"), date_check("inspection_date", row("inspection_date")),
+        welder_check("welder_id", row("welder_id")), range_check("unit_price", row("unit_price"), 0.0, 1e9), range_check("amount", row("amount"), 0.0, 1e12),
+    ))
+
+
+def _each(rows: Column, name: str, checks) -> Column:
+    """Violations of the elements of an array; a field is named by its place: joints[0].result."""
+    at = lambda i, f: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{f}"))
+    return F.coalesce(F.flatten(F.transform(rows, lambda x, i: F.array_compact(F.array(*checks(x, lambda f: at(i, f)))))), F.array().cast(VIOLATIONS))
+
+
+VIOLATIONS = "array<struct<field:string,raw_value:string,rule:string,expected:string,severity:string>>"
+
+
+def report_violations(row) -> Column:
+    """Violations of a report's fields, then of its joints' (array of structs with result, joint_no, welder_id)."""
+    own = F.array_compact(F.array(
+        pattern_check("report_no", row("report_no"), REPORT_NO, "a report number"), enum_check("ndt_method", row("ndt_method"), NDT_METHODS),
+        date_check("inspection_date", row("inspection_date")), pattern_check("drawing_no", row("drawing_no"), DRAWING_NO, "a drawing number"),
+    ))
+    joints = _each(row("joints"), "joints", lambda j, at: (enum_check(at("result"), j["result"], RESULTS), pattern_check(at("joint_no"), j["joint_no"], JOINT_NO, "a joint number", "low"), welder_check(at("welder_id"), j["welder_id"])))
+    return F.concat(own, joints)
+
+
+def drawing_violations(row) -> Column:
+    """Violations of a drawing's number, of its lines (kks_lines) and of its inspection matrix; a dash or blank is no percentage."""
+    own = F.array_compact(F.array(pattern_check("drawing_no", row("drawing_no"), DRAWING_NO, "a drawing number")))
+    lines = _each(row("kks_lines"), "kks_lines", lambda x, at: (
+        pattern_check(at("kks_code"), x["kks_code"], KKS_CODE, "a code", "low"), enum_check(at("safety_class"), x["safety_class"], SAFETY_CLASSES),
+        enum_check(at("seismic"), x["seismic"], SEISMIC_CATEGORIES), range_check(at("design_pressure_mpag"), x["design_pressure_mpag"], *PRESSURE),
+        range_check(at("design_temperature_c"), x["design_temperature_c"], *TEMPERATURE)))
+    given = lambda c: F.when(~c.isin("", "-"), c)
+    matrix = _each(row("inspection_matrix"), "inspection_matrix", lambda x, at: (
+        pattern_check(at("kks_code"), x["kks_code"], KKS_CODE, "a code", "low"), *[range_check(at(f), given(x[f].cast("string")), *PERCENT) for f in MATRIX_FIELDS]))
+    return F.concat(own, lines, matrix)
+
+
+def is_required(value: Column) -> Column:
+    """Whether an entry of an inspection matrix asks for the inspection: given, and no dash or zero."""
+    text = F.trim(value.cast("string"))
+    return F.coalesce(~text.isin("", "-", "0", "0%") & (F.coalesce(text.try_cast("double"), F.lit(1.0)) != 0), F.lit(False))
+
+
+def corrected(found: Column, corrections: Column) -> Column:
+    """The violations that accepted corrections (array of field names) don't settle. Only fields of the row itself are corrected."""
+    return F.filter(found, lambda v: ~(F.array_contains(corrections, v["field"]) & ~v["field"].rlike(r"[.\[]")))
+
+
 def summary(found: Column) -> Column:
     """struct(high, medium, low, needs_review): counts by severity; review for any high or three medium ones."""
     n = lambda level: F.size(F.filter(found, lambda x: x["severity"] == level))
@@ -144,35 +347,6 @@ def basis_state(docs: DataFrame) -> DataFrame:
     return out.select("key", state.alias("state"), F.when(state == "not_submitted", F.col("first_reason")).alias("reason"))
 
 
-def document_reason(scope: Column, schema: Column, flagged: Column, confidence: Column, extracted: Column) -> Column:
-    """Why a document can't prove the lack of a basis: the first of the gates that fails; null if none does.
-
-    A missing flag counts as flagged; a confidence that is missing or no number fails.
-    """
-    sure = confidence.try_cast("double")
-    return (
-        F.when(scope == "unknown", "scope_unknown")
-        .when(scope == "no", "out_of_scope")
-        .when(F.coalesce(schema, F.lit(0)) < 2, "schema_old")
-        .when(F.coalesce(flagged, F.lit(True)), "doc_needs_review")
-        .when(sure.isNull() | (sure < 0.7), "low_confidence")
-        .when(~F.coalesce(extracted, F.lit(False)), "nothing_extracted")
-    )
-
-
-def rule_strength(trigger: Column, quote: Column, verified: Column, confidence: Column, flagged: Column, context: Column, words: Column) -> Column:
-    """strong or weak for a conditional rule of the billed method.
-
-    strong needs a trigger, a quote that wasn't refuted, a confidence of 0.7, an unflagged document, and, where the report
-    states a reason, a trigger word in it.
-    """
-    full = (F.trim(F.coalesce(trigger, F.lit(""))) != "") & (F.trim(F.coalesce(quote, F.lit(""))) != "")
-    sure = F.coalesce(confidence.try_cast("double") >= 0.7, F.lit(False)) & F.coalesce(verified, F.lit(True))
-    said = F.trim(F.coalesce(context, F.lit(""))) == ""
-    fits = said | F.exists(words, lambda w: F.contains(F.lower(context), F.lower(w)))
-    return F.when(full & sure & ~F.coalesce(flagged, F.lit(True)) & fits, "strong").otherwise("weak")
-
-
 # What each state of the basis asks the reviewer to do.
 ACTIONS = {
     "billed_ndt_not_in_requirements": "Reject the charge: no document asks for this inspection.",
@@ -198,3 +372,23 @@ def labels(required: Column, billed: Column) -> Column:
         F.when(required.isNull(), unread).otherwise(text(F.array_except(required, billed))).alias("missing"),
         F.when(required.isNull(), unread).otherwise(text(F.array_except(billed, required))).alias("extra"),
     )
+
+
+def basis_label(state: Column) -> Column:
+    """How the review sheet names a state of the basis; null for none."""
+    # The sheet's words.
+    words = {"covered": "SCWEP 근거 있음 — 조건 확인 필요", "unclear": "근거 불명확 — 조항 확인", "not_submitted": "근거 미제출 — 제출 요청", "no_basis_found": "근거 밖 — 과다청구"}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.coalesce(state, F.lit("")))
+
+
+def citations(refs: Column, accused: Column) -> Column:
+    """struct(docs, places) of references (array of struct(authority_level, doc, section, page)) as text; null where none.
+
+    Next to an accusation no procedure document (level 2) is shown, as it would read like a permission.
+    """
+    shown = F.filter(refs, lambda r: ~(accused & F.coalesce(r["authority_level"] == 2, F.lit(False))))
+    docs = F.array_sort(F.array_distinct(F.filter(F.transform(shown, lambda r: r["doc"]), lambda d: F.coalesce(d != "", F.lit(False)))))
+    place = lambda r: F.concat_ws("/", F.nullif(r["section"], F.lit("")), F.concat(F.lit("p."), r["page"].cast("string")))
+    places = F.array_sort(F.array_distinct(F.filter(F.transform(shown, place), lambda x: x != "")))
+    text = lambda x: F.nullif(F.array_join(x, " / "), F.lit(""))
+    return F.struct(text(docs).alias("docs"), text(places).alias("places"))

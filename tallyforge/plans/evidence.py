@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions import normalise
+from tallyforge.functions import criteria, normalise
 from tallyforge.operators import evidence, ledger, matching
 from tallyforge.plans.audit import _FINDINGS_SQL, judged
 from tallyforge.plans.roles import table
@@ -44,17 +44,18 @@ def extraction_budget(spark, sf_dir: str) -> DataFrame:
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd'), cast(round(l_extendedprice * 100) AS bigint)) AS row",
         "cast(l_quantity AS int) AS q", "l_linenumber AS n", "l_orderkey", "l_suppkey AS s")
     page = F.when(F.col("l_orderkey") % 7 != 0, F.col("row"))
-    claims = rows.select("row", page.alias("page"), F.posexplode(F.array(F.col("q").cast("string"), F.col("q").cast("string"), F.col("n").cast("string"), F.lit("999 "))).alias("ordinal", "value"))
-    text = F.when(F.col("l_orderkey") % 5 != 0, F.concat(F.lit("qty "), "q", F.lit(" of x77, see "), F.col("s") % 3, F.lit("; 1.5"))).otherwise(F.lit(""))
+    claims = rows.select("row", page.alias("page"), F.posexplode(F.array(F.col("q").cast("string"), F.col("q").cast("string"), F.col("n").cast("string"), F.lit("7 7"))).alias("ordinal", "value"))
+    text = F.when(F.col("l_orderkey") % 5 != 0, F.concat(F.lit("qty "), "q", F.lit("mm of x77, see "), F.col("s") % 3, F.lit("; 1.5"))).otherwise(F.lit(""))
     found = evidence.budget(claims, rows.select(F.col("row").alias("page"), text.alias("text")))
     return found.groupBy("ordinal", "outcome").agg(F.count("*").alias("n"))
 
 
 def consistency(spark, sf_dir: str) -> DataFrame:
-    """Keys that all flags share whose values differ: parts' least quantities by flag."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.min("l_quantity").alias("v"))
-    out = rows.groupBy("l_partkey").agg(F.count("*").alias("n"), F.countDistinct(F.coalesce(F.col("v").cast("string"), F.lit("-"))).alias("n_values"))
-    return out.where("n = 3 AND n_values > 1").select("l_partkey", "n_values")
+    """Keys that all drawings share whose values differ: flags as drawings, parts as keys under several units."""
+    code = F.concat((F.col("l_linenumber") * 10 + 10).cast("string"), F.lit("PAB"), F.col("l_partkey").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.min("l_quantity").alias("low"), F.max(F.when(F.col("l_discount") > 0.05, F.col("l_discount"))).alias("high"), F.min(code).alias("code"))
+    out = evidence.consistency(rows, "l_returnflag", "code", ["low", "high"])
+    return out.select("code", F.array_join("differing", ",").alias("differing"))
 
 
 def overbill_claim(spark, sf_dir: str) -> DataFrame:
@@ -88,27 +89,33 @@ def three_way(spark, sf_dir: str) -> DataFrame:
 
 
 def piece_overrun(spark, sf_dir: str) -> DataFrame:
-    """Parts with more pieces than the drawing's quantity."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("decimal(10,2)")).alias("pieces"))
-    drawn = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 25 + 100).alias("drawn"))
-    return rows.join(drawn, "l_partkey").where("pieces > drawn").select("l_partkey", F.col("pieces").cast("decimal(18,2)").alias("pieces"), "drawn")
+    """Parts with more pieces in reports of the ledger than the drawing's quantity, where the unit is known."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report"), "l_partkey", F.col("l_quantity").cast("decimal(10,2)").alias("pieces"))
+    unit = F.element_at(F.array(F.lit("1"), F.lit("2"), F.lit(None).cast("string"), F.lit("CONFLICT")), (F.col("p_size") % 4 + 1).cast("int"))
+    drawn = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 25 + 100).alias("drawn"), unit.alias("unit"))
+    booked = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("report"))
+    return ledger.piece_overrun(rows, drawn, ["l_partkey"], booked, "report").select("l_partkey", F.col("pieces").cast("decimal(18,2)").alias("pieces"), "drawn")
 
 
-#: Criteria in order: the first that fits gives the grade.
-CRITERIA = (("B1", "COPPER"), ("A1", "^STANDARD.*(STEEL|BRASS)"), ("A2", "^(ECONOMY|PROMO)"), ("A3", "NICKEL|TIN"), ("A4", "PLATED"))
+#: Texts that cite criteria, one for each grade and two for what only looks like another.
+CITED = ("SP 70.13330.2012 clause 10.4", "visual 100% per GOST 23118-2012 6.18", "GOST 23118", "70.13330 acceptance of concealed works", "Examination certificate", "SP 70.13330 embedded part", "shall be implemented and accepted acc. to SP70.13330-2012",
+         "VT see (E/5.2) all welded joints", "Visual, each weld", "visual", "in compliance with nothing", " - ", "", "none", "GOST 23119 100 %", "table 10.6")
 
 
 def criteria_grade(spark, sf_dir: str) -> DataFrame:
-    grade = F.lit("UNKNOWN")
-    for name, pattern in reversed(CRITERIA):
-        grade = F.when(F.col("p_type").rlike(pattern), name).otherwise(grade)
-    return table(spark, sf_dir, "part").groupBy("p_type", F.when(F.trim("p_type") == "", "EMPTY").otherwise(grade).alias("grade")).agg(F.count("*").alias("n"))
+    """Cited criteria of parts with their grade, and the findings for the methods billed."""
+    text = F.element_at(F.array(*map(F.lit, CITED)), (F.col("p_size") % 16 + 1).cast("int"))
+    billed = F.map_from_arrays(F.array(F.lit("vt"), F.lit("PT"), F.lit("UT")), F.array(F.col("p_partkey") % 2, F.col("p_partkey") % 3, F.when(F.col("p_partkey") % 5 > 0, F.col("p_partkey") % 4)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), billed.alias("billed")).withColumn("g", criteria.graded(F.col("text")))
+    found = criteria.criteria_findings(F.col("g.grade"), F.col("billed"))
+    listed = F.array_join(F.transform(found, lambda f: F.concat(f["rule"], F.lit(":"), F.array_join(f["methods"], "+"))), " ")
+    return rows.select("p_partkey", "text", "g.grade", F.coalesce("g.standard", F.lit("")).alias("standard"), F.coalesce("g.clause", F.lit("")).alias("clause"), F.coalesce("g.method", F.lit("")).alias("method"), F.coalesce("g.scope_pct", F.lit(0.0)).alias("scope_pct"), F.coalesce("g.note_ref", F.lit("")).alias("note_ref"), "g.needs_review", listed.alias("findings"))
 
 
 def header_vote(spark, sf_dir: str) -> DataFrame:
     """A user's event type by vote: error first if seen, then the most frequent, then the first seen."""
     events = table(spark, sf_dir, "events")
-    return ledger.majority(events.where("event_type <> 'error' OR user_id % 3 = 0"), "user_id", "event_type", "event_id", F.col("event_type") == "error")
+    return ledger.majority(events, "user_id", "event_type", "event_id", F.col("event_type") == "error")
 
 
 def window_merge(spark, sf_dir: str) -> DataFrame:
@@ -119,11 +126,20 @@ def window_merge(spark, sf_dir: str) -> DataFrame:
 
 
 def quote_verify(spark, sf_dir: str) -> DataFrame:
-    """Every benchmark passage as a quotation of ten documents, some of which aren't there."""
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.explode(F.sequence(F.col("item_id") * 20, F.col("item_id") * 20 + 19)).alias("doc"))
-    texts = table(spark, sf_dir, "documents").where("doc_id % 10 <> 3").select(F.col("doc_id").alias("doc"), "text")
-    out = evidence.quoted(quotes, texts)
-    return out.groupBy("item_id", F.coalesce(F.col("verified").cast("string"), F.lit("unknown")).alias("verified")).agg(F.count("*").alias("n"))
+    """Every benchmark passage in all documents: those that share a run of eight words, and whether the whole passage is there."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return evidence.passages(items, docs)
+
+
+def quote_ratios(spark, sf_dir: str) -> DataFrame:
+    """Passages cut from their documents and damaged, as citations: verified to a ratio, untraceable where the page is missing."""
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 200")
+    cut = F.substring("text", 21, 60)
+    quote = F.when(F.col("doc_id") % 4 == 0, cut).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Zq"), F.substring(cut, 3, 30), F.lit("xx"), F.substring(cut, 35, 30))).when(F.col("doc_id") % 4 == 2, F.lit("0123456789 9876543210 0123456789")).otherwise(F.lit(" "))
+    citations = docs.select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), quote.alias("quote"))
+    snippets = docs.where("n_chars > 500").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), "text", F.lit(0).alias("ordinal"), F.lit("text").alias("source"), F.lit(False).alias("needs_review"))
+    return evidence.cited(citations, snippets).select("doc", "source", F.coalesce("verified", F.lit(False)).alias("verified"), "needs_review")
 
 
 def digit_agreement(spark, sf_dir: str) -> DataFrame:
@@ -136,11 +152,28 @@ def digit_agreement(spark, sf_dir: str) -> DataFrame:
     ))
     values = rows.select(F.col("l_orderkey").alias("id"), side.alias("x")).select("id", "x.*").where("token IS NOT NULL")
     out = evidence.agreement(values)
-    return out.select("id", "matched", "total", "invented", F.round("ratio", 6).alias("ratio"))
+    return out.select("id", "matched", "total", F.array_join("invented", ",").alias("invented"), F.array_join("missing", ",").alias("missing"), F.round("ratio", 6).alias("ratio"))
+
+
+def transcript_digits(spark, sf_dir: str) -> DataFrame:
+    """Transcripts of a line's figures against two readings of the page."""
+    q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
+    candidate = F.concat(F.lit("| 11 | 12 |\n|---|---|\n| "), q, F.lit(",250 | 0,125 | UGB"), n, F.lit("GML | DN100 | -3.5. 25mm"))
+    one = F.concat(q, F.lit(" 250, 0.125 and DN100"), F.when(F.col("l_linenumber") % 2 == 0, " -3,5").otherwise(""))
+    two = F.concat(q, F.lit("250; 7 7"), F.when(F.col("l_linenumber") % 3 == 0, " 25 mm").otherwise(""))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), candidate.alias("candidate"), F.array(one, two).alias("references"))
+    out = evidence.compared_texts(rows)
+    return out.select("id", "matched", "total", F.array_join("invented", "|").alias("invented"), F.array_join("missing", "|").alias("missing"), F.round("ratio", 6).alias("ratio"))
 
 
 def layer_quality(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(evidence.layer_quality(F.col("text")), 6).alias("quality"))
+    """Events of a user as pages: labelled codes that are well-formed or not, and lines that collapsed."""
+    page = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    code = F.when(F.col("event_type") == "click", "10PAB02BR005").otherwise("IOPABO2BROO5")
+    text = F.concat(F.when(F.col("event_id") % 5 < 3, F.concat(F.lit("KKS code: "), code, F.lit("\n"))).otherwise(""), F.lit("plain line\n"), F.when(F.col("event_id") % 4 == 0, "____\n").otherwise("ok\n"))
+    rows = table(spark, sf_dir, "events").select("user_id", page.alias("page"), text.alias("text"))
+    out = evidence.layer_quality(rows, "user_id", "page")
+    return out.select("user_id", "clean", "garbled", F.round("collapse", 6).alias("collapse"), F.round("quality", 6).alias("quality"))
 
 
 def line_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -169,7 +202,7 @@ def stratified_sample(spark, sf_dir: str) -> DataFrame:
 
 def score_review(spark, sf_dir: str) -> DataFrame:
     """Transitions from the labelled class to the one that the length suggests, and rows without a document."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 9 <> 0").select("doc_id", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("got"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("got"))
     rows = table(spark, sf_dir, "labels").join(docs, "doc_id", "left")
     return rows.groupBy(F.concat(F.col("quality"), F.lit("->"), F.coalesce(F.col("got").cast("string"), F.lit("missing"))).alias("transition")).agg(F.count("*").alias("n"), F.sum(normalise.truthy(F.col("toxic")).cast("long")).alias("flagged"))
 
@@ -184,14 +217,46 @@ def table_bench(spark, sf_dir: str) -> DataFrame:
     return rows.groupBy("name").agg(F.count("*").alias("cells"), F.coalesce(F.sum(right), F.lit(0)).alias("right")).withColumn("accuracy", F.round(F.col("right") / F.col("cells"), 4))
 
 
+def review_counters(spark, sf_dir: str) -> DataFrame:
+    """Labelled claims against the results of a run that misses some and differs in others."""
+    rows = table(spark, sf_dir, "orders")
+    verdict = F.element_at(F.array(F.lit("OK"), F.lit("SUSPECT"), F.lit(None).cast("string")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    truth = rows.select("o_orderkey", F.when(F.col("o_custkey") % 7 > 0, F.col("o_custkey")).alias("report_no"), verdict.alias("verdict"))
+    got = rows.where("o_orderstatus <> 'P'").select("o_orderkey", F.when(F.col("o_custkey") % 5 > 0, F.col("o_custkey")).alias("report_no"), F.when(F.col("o_totalprice") > 100000, "OK").otherwise("SUSPECT").alias("verdict"), F.when(F.col("o_orderkey") % 2 == 0, "필요").otherwise("no").alias("needs_review"))
+    return ledger.review_scores(truth, got, ["o_orderkey"])
+
+
+def table_counters(spark, sf_dir: str) -> DataFrame:
+    """The part table against a transcript that lacks rows, mistakes letters of keys and some cells."""
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("10L"), "p_partkey").alias("code"), "p_brand", F.concat(F.lit("SNiP 3.05-84 / "), "p_type").alias("norm"), F.concat(F.lit("57 × "), "p_size").alias("size"))
+    rows = table(spark, sf_dir, "part").where("p_retailprice > 1000").select(F.concat(F.lit("IO|"), "p_partkey").alias("code"), F.when(F.col("p_partkey") % 5 == 0, "?").otherwise(F.upper("p_brand")).alias("p_brand"), F.lit("snip3.05-84").alias("norm"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("57x"), "p_size")).alias("size"))
+    return ledger.table_scores(part, rows, "code", ["p_brand", "norm", "size"]).withColumn("worst", F.array_join("worst", ","))
+
+
 def ab_agreement(spark, sf_dir: str) -> DataFrame:
-    """Pairwise agreement of three judges over labelled rows, and their upper median delay."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.explode(F.array(F.struct(F.lit("a").alias("judge"), F.col("quality").alias("says")), F.struct(F.lit("b").alias("judge"), F.col("toxic").alias("says")), F.struct(F.lit("c").alias("judge"), (F.col("doc_id") % 2).cast("int").alias("says")))).alias("x")).select("doc_id", "x.*")
-    one, two = labels.alias("one"), labels.alias("two")
-    pairs = one.join(two, F.expr("one.doc_id = two.doc_id AND one.judge < two.judge"))
-    rows = pairs.groupBy(F.concat("one.judge", "two.judge").alias("pair")).agg(F.count("*").alias("n"), F.sum(F.expr("cast(one.says = two.says AS bigint)")).alias("agreed"))
-    delay = table(spark, sf_dir, "labels").agg(ledger.upper_median(F.col("doc_id")).alias("m")).first()[0]
-    return rows.withColumn("median_id", F.lit(delay))
+    """Pairwise agreement of three judges over labelled rows."""
+    return ledger.agreement_pairs(_answers(spark, sf_dir), "doc_id", "judge", "says")
+
+
+def _answers(spark, sf_dir: str) -> DataFrame:
+    one = lambda name, says: F.struct(F.lit(name).alias("judge"), says.cast("int").alias("says"), (F.col("doc_id") % 17).alias("delay"), (F.col("doc_id") % 11 > 0).alias("parsed"), (F.col("doc_id") % 13 == 0).alias("truncated"), (F.col("doc_id") % 19 == 0).alias("failed"), (says.cast("int") == F.col("quality")).alias("correct"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.explode(F.array(one("a", F.col("quality")), one("b", F.col("toxic")), one("c", F.col("doc_id") % 2))).alias("x"))
+    return rows.select("doc_id", "x.*")
+
+
+def answer_summary(spark, sf_dir: str) -> DataFrame:
+    """Each judge's answers in figures, with a weighted score and a verdict."""
+    rows = _answers(spark, sf_dir)
+    shares = rows.groupBy("judge", F.when(F.col("doc_id") % 3 == 0, "core").otherwise("rest").alias("category")).agg(F.avg(F.col("correct").cast("int")).alias("share"))
+    score = ledger.weighted_score(shares, "judge", {"core": 3.0, "rest": 1.0}, "core", 0.6)
+    return ledger.answer_summary(rows, "judge").join(score, "judge").withColumn("score", F.round("score", 6))
+
+
+def call_stats(spark, sf_dir: str) -> DataFrame:
+    """Types and users with the most calls."""
+    events = table(spark, sf_dir, "events")
+    one, two = (ledger.call_stats(events.withColumn("key", F.col(c).cast("string")), "key").withColumn("by", F.lit(c)) for c in ("event_type", "user_id"))
+    return one.unionByName(two)
 
 
 def usage_buckets(spark, sf_dir: str) -> DataFrame:
@@ -238,14 +303,20 @@ QUERIES = {
     "q40_header_vote": header_vote,
     "q41_window_merge_dedupe": window_merge,
     "q47_quote_verify": quote_verify,
+    "q47b_quote_ratios": quote_ratios,
     "q48_digit_agreement": digit_agreement,
+    "q48b_transcript_digits": transcript_digits,
     "q49_text_layer_quality": layer_quality,
     "q50_line_jaccard": line_jaccard,
     "q51_vector_health": vector_health,
     "q52_stratified_quota": stratified_quota,
     "q52b_stratified_sample": stratified_sample,
     "q53_score_review": score_review,
+    "q53b_review_counters": review_counters,
     "q54_table_bench": table_bench,
+    "q54b_table_counters": table_counters,
+    "q55b_answer_summary": answer_summary,
+    "q56b_call_stats": call_stats,
     "q55_ab_agreement": ab_agreement,
     "q56_usage_buckets": usage_buckets,
     "q61_html_table_matrix": html_matrix,
@@ -259,16 +330,16 @@ _NAMES = """n AS (SELECT a.p_partkey AS item, b.p_partkey AS candidate, 100 - CA
 _QUOTA = """s AS (SELECT concat(o_orderstatus, '|', o_orderpriority) AS stratum, count(*) AS size FROM orders GROUP BY 1),
   b AS (SELECT *, 1 + CAST(floor((100 - count(*) OVER ()) * size / sum(size) OVER ()) AS BIGINT) AS base FROM s),
   q AS (SELECT stratum, size, least(size, base + CASE WHEN row_number() OVER (ORDER BY size DESC, stratum) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END) AS quota FROM b)"""
-_GRADE = "CASE " + " ".join(f"WHEN regexp_matches(p_type, '{p}') THEN '{g}'" for g, p in CRITERIA) + " ELSE 'UNKNOWN' END"
 
 SQL = {
     "q04_fuzzy_candidates_topk": f"WITH {_NAMES} SELECT item, candidate, score, rank FROM t WHERE rank <= 5",
     "q05_score_gap_escalation": f"WITH {_NAMES} SELECT item, candidate, coalesce(gap, -1) AS gap, CASE WHEN gap < 10 THEN 'judge' ELSE 'take' END AS decision FROM t WHERE rank = 1",
     "q16_extraction_budget": """WITH r AS (SELECT CAST(l_quantity AS INT) AS q, l_linenumber AS n, l_orderkey AS o, l_suppkey % 3 AS s FROM lineitem),
-      c AS (SELECT *, unnest([0, 1, 2, 3]) AS ordinal, unnest([q, q, n, 999]) AS v FROM r),
-      k AS (SELECT *, CASE ordinal WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN CASE WHEN n = q THEN 3 ELSE 1 END ELSE 1 END AS k, CAST(v = q AS INT) + CAST(v = s AS INT) AS f FROM c)
+      c AS (SELECT *, unnest([0, 1, 2, 3]) AS ordinal, unnest([q, q, n, 77]) AS v FROM r),
+      k AS (SELECT *, CASE ordinal WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN CASE WHEN n = q THEN 3 ELSE 1 END ELSE 1 END AS k, CAST(v = q AS INT) + CAST(v = s AS INT) + CAST(v = 77 AS INT) AS f FROM c)
       SELECT CAST(ordinal AS INT) AS ordinal, CASE WHEN o % 7 = 0 THEN 'unverifiable' WHEN o % 5 = 0 THEN 'unsupported' WHEN k <= f THEN 'kept' WHEN f = 0 THEN 'absent' ELSE 'over' END AS outcome, count(*) AS n FROM k GROUP BY ALL""",
-    "q17_consistency_across_sets": "WITH m AS (SELECT l_partkey, l_returnflag, min(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT l_partkey, count(DISTINCT v) AS n_values FROM m GROUP BY l_partkey HAVING count(*) = 3 AND count(DISTINCT v) > 1",
+    "q17_consistency_across_sets": """WITH m AS (SELECT l_partkey, l_returnflag, min(l_quantity) AS a, coalesce(max(l_discount) FILTER (l_discount > 0.05), -1) AS b FROM lineitem GROUP BY ALL)
+      SELECT 'PAB' || l_partkey AS code, concat_ws(',', CASE WHEN count(DISTINCT a) > 1 THEN 'low' END, CASE WHEN count(DISTINCT b) > 1 THEN 'high' END) AS differing FROM m GROUP BY l_partkey HAVING count(*) = 3""",
     "q20_overbill_claim_rule": f"""WITH {_FINDINGS_SQL} SELECT CASE l_suppkey % 4 WHEN 0 THEN 'no_basis_found' WHEN 1 THEN 'not_submitted' WHEN 2 THEN 'unclear' ELSE 'covered' END AS basis_state, set_flagged,
       list_filter(findings, lambda x: starts_with(x, 'billed_'))[1] AS finding, count(*) AS n FROM judged WHERE required IS NOT NULL AND NOT list_contains(required, ndt_method) GROUP BY ALL""",
     "q30_class_distribution": "SELECT CASE WHEN c_acctbal >= 0 THEN c_mktsegment ELSE '(unspecified)' END AS class, count(*) AS n FROM customer GROUP BY 1",
@@ -278,32 +349,60 @@ SQL = {
       e AS (SELECT l_orderkey, sum(q * coalesce(u, 0)) AS expected, bool_or(u IS NULL) AS unknown, CASE WHEN l_orderkey % 9 <> 0 THEN sum(q * 2) END AS booked, bool_or(l_linenumber = 7) AS shared FROM r GROUP BY l_orderkey)
       SELECT l_orderkey, CAST(expected AS DECIMAL(18,2)) AS expected, CAST(booked AS DECIMAL(18,2)) AS booked, CASE WHEN booked IS NULL THEN 'ledger_missing' WHEN unknown OR shared THEN 'incalculable'
         WHEN booked = 0 AND expected <> 0 OR booked <> 0 AND abs(expected - booked) * 100 > abs(booked) THEN 'mismatch' ELSE 'match' END AS outcome FROM e""",
-    "q33_piece_overrun": "SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(10,2))) AS DECIMAL(18,2)) AS pieces, p_size * 25 + 100 AS drawn FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey, p_size HAVING sum(l_quantity) > p_size * 25 + 100",
-    "q34_criteria_grade": f"SELECT p_type, {_GRADE} AS grade, count(*) AS n FROM part GROUP BY 1, 2",
-    "q40_header_vote": """WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events WHERE event_type <> 'error' OR user_id % 3 = 0 GROUP BY ALL)
+    "q33_piece_overrun": """SELECT l_partkey, CAST(sum(CAST(l_quantity AS DECIMAL(10,2))) AS DECIMAL(18,2)) AS pieces, p_size * 25 + 100 AS drawn FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P'
+      WHERE p_size % 4 < 2 GROUP BY l_partkey, p_size HAVING sum(CAST(l_quantity AS DECIMAL(10,2))) > p_size * 25 + 100""",
+    "q34_criteria_grade": r"""WITH p AS (SELECT p_partkey, [""" + ", ".join(f"'{c}'" for c in CITED) + r"""][p_size % 16 + 1] AS text, p_partkey % 2 AS v, p_partkey % 3 AS pt, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 4 ELSE 0 END AS ut FROM part),
+      f AS (SELECT *, lower(text) AS l, regexp_matches(text, '70\.13330') AS sp, contains(lower(text), 'gost 23118') AS gost, regexp_matches(lower(text), 'visual|vt\b') AS vis, regexp_matches(lower(text), '100\s*%|each weld|all welded joints') AS whole FROM p),
+      g AS (SELECT *, CASE WHEN trim(l) IN ('', '-', 'none') THEN 'EMPTY' WHEN sp AND contains(l, 'clause 10.4') THEN 'A1' WHEN gost THEN 'A2' WHEN sp AND contains(l, 'concealed works') THEN 'A3' WHEN contains(l, 'examination certificate') THEN 'A4' WHEN sp AND contains(l, 'embedded part') THEN 'A5'
+        WHEN sp AND contains(l, 'shall be implemented and accepted') THEN 'A6' WHEN contains(text, '(E/5.2)') THEN 'B1' WHEN vis AND whole THEN 'B2' WHEN vis THEN 'B3' ELSE 'UNKNOWN' END AS grade FROM f)
+      SELECT p_partkey, text, grade, CASE WHEN grade IN ('A1', 'A3', 'A4', 'A5', 'A6') THEN 'SP 70.13330.2012' WHEN grade = 'A2' THEN CASE WHEN contains(text, '-2012') THEN 'GOST 23118-2012' ELSE 'GOST 23118' END ELSE '' END AS standard,
+        CASE grade WHEN 'A1' THEN '10.4/T10.6' WHEN 'A2' THEN CASE WHEN contains(text, '6.18') THEN '6.18(2012판)' ELSE '' END WHEN 'A3' THEN 'concealed works acceptance' WHEN 'A4' THEN 'critical structures acceptance' WHEN 'A5' THEN 'embedded parts' ELSE '' END AS clause,
+        CASE WHEN grade IN ('A1', 'A2', 'B1', 'B2', 'B3') THEN 'VT' ELSE '' END AS method, CASE WHEN grade IN ('A1', 'A2', 'B1', 'B2') THEN 100.0 ELSE 0.0 END::DOUBLE AS scope_pct, CASE WHEN grade = 'B1' THEN 'E/5.2' ELSE '' END AS note_ref,
+        grade IN ('EMPTY', 'A6', 'B1', 'B2', 'B3', 'UNKNOWN') OR grade = 'A2' AND contains(text, '-2012') AS needs_review,
+        concat_ws(' ', CASE WHEN grade IN ('A1', 'A2') AND pt > 0 THEN 'billed_method_not_in_cited_criteria:PT' END, CASE WHEN grade IN ('A1', 'A2') AND ut > 0 THEN 'billed_method_not_in_cited_criteria:UT' END,
+          CASE WHEN grade IN ('B2', 'B3', 'EMPTY', 'UNKNOWN') AND v + pt + ut > 0 THEN 'billing_without_cited_criteria:' || concat_ws('+', CASE WHEN pt > 0 THEN 'PT' END, CASE WHEN ut > 0 THEN 'UT' END, CASE WHEN v > 0 THEN 'VT' END) END,
+          CASE WHEN grade = 'B1' THEN 'criteria_is_unresolved_note_ref:' END, CASE WHEN grade = 'A1' AND ut = 0 THEN 'required_method_unbilled_info:UT' WHEN grade = 'A2' AND ut = 0 THEN 'required_method_unbilled_info:UT+RT' END) AS findings FROM g""",
+    "q40_header_vote": """WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL)
       SELECT user_id, event_type FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'error' DESC, n DESC, f) = 1""",
     "q41_window_merge_dedupe": """WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
       SELECT lang, md5(substr(line, 1, 40)) AS digest, min(doc_id) AS first_doc, CAST(arg_min(i, (doc_id, i)) AS INT) AS first_line, count(*) AS n FROM l GROUP BY lang, substr(line, 1, 40) HAVING count(*) > 1""",
-    "q47_quote_verify": r"""WITH q AS (SELECT item_id, text, unnest(generate_series(item_id * 20, item_id * 20 + 19)) AS doc FROM benchmark), d AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 3),
-      v AS (SELECT item_id, contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(q.text, '\s+', ' ', 'g')))) AS ok FROM q LEFT JOIN d ON doc = doc_id)
-      SELECT item_id, coalesce(CAST(ok AS VARCHAR), 'unknown') AS verified, count(*) AS n FROM v GROUP BY ALL""",
+    "q47_quote_verify": r"""WITH f AS (SELECT item_id AS item, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM benchmark), d AS (SELECT doc_id AS doc, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents),
+      i AS (SELECT *, string_split(t, ' ') AS w FROM f WHERE t <> ''), g AS (SELECT DISTINCT item, least(8, len(w)) AS k, array_to_string(w[s:s + least(8, len(w)) - 1], ' ') AS run FROM (SELECT *, unnest(generate_series(1, len(w) - least(8, len(w)) + 1)) AS s FROM i)),
+      e AS (SELECT doc, k, array_to_string(w[s:s + k - 1], ' ') AS run FROM (SELECT doc, k, w, unnest(generate_series(1, len(w) - k + 1)) AS s FROM (SELECT doc, string_split(t, ' ') AS w FROM d), (SELECT DISTINCT k FROM g) WHERE len(w) >= k)),
+      p AS (SELECT DISTINCT item, doc FROM g JOIN e USING (k, run)) SELECT item, doc, contains(d.t, i.t) AS exact FROM p JOIN i USING (item) JOIN d USING (doc)""",
+    "q47b_quote_ratios": """WITH d AS (SELECT doc_id, n_chars, substr(text, 21, 60) AS cut FROM documents WHERE length(text) >= 200) SELECT doc_id AS doc, CASE WHEN n_chars > 500 THEN 'text' ELSE 'untraceable' END AS source, n_chars > 500 AND doc_id % 4 < 2 AS verified, NOT (n_chars > 500 AND doc_id % 4 < 2) AS needs_review FROM d""",
     "q48_digit_agreement": """WITH v AS (SELECT l_orderkey AS id, CAST(l_quantity AS INT) AS t, count(*) AS c, count(*) FILTER (l_linenumber <> 3) AS a, count(*) FILTER (l_linenumber % 2 = 0) AS b FROM lineitem GROUP BY ALL)
-      SELECT id, CAST(sum(least(c, greatest(a, b))) AS BIGINT) AS matched, CAST(sum(c) AS BIGINT) AS total, count(*) FILTER (greatest(a, b) = 0) AS invented, round(sum(least(c, greatest(a, b))) / sum(c), 6) AS ratio FROM v GROUP BY id""",
-    "q49_text_layer_quality": r"""WITH d AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '') AS ls FROM documents),
-      x AS (SELECT doc_id, greatest(len(ls), 1) AS n, len(list_filter(ls, lambda l: regexp_matches(l, '[#$%&*]{2,}'))) AS bad, len(list_filter(ls, lambda l: regexp_matches(l, '\S{25,}'))) AS tight FROM d)
-      SELECT doc_id, round(greatest(0.0, least(1.0, 1 - bad / n - least(0.3, tight / n))), 6) AS quality FROM x""",
+      SELECT id, CAST(sum(least(c, greatest(a, b))) AS BIGINT) AS matched, CAST(sum(c) AS BIGINT) AS total, coalesce(string_agg(CAST(t AS VARCHAR), ',' ORDER BY CAST(t AS VARCHAR)) FILTER (c > greatest(a, b)), '') AS invented, '' AS missing, round(sum(least(c, greatest(a, b))) / sum(c), 6) AS ratio FROM v GROUP BY id""",
+    "q48b_transcript_digits": """WITH l AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, CAST(l_quantity AS INT) AS q, l_linenumber AS n FROM lineitem),
+      t AS (SELECT id, q, n, q || '250' AS big, 1 + 1 + 1 + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN n % 3 = 0 OR q = 25 THEN 1 ELSE 0 END AS hit FROM l)
+      SELECT id, CAST(hit AS BIGINT) AS matched, CAST(5 AS BIGINT) AS total, concat_ws('|', CASE WHEN n % 2 <> 0 THEN '-3.5' END, CASE WHEN n % 3 <> 0 AND q <> 25 THEN '25' END) AS invented,
+        array_to_string(list_sort(list_distinct(list_filter(['250', '7', CASE WHEN q <> 25 OR n % 3 = 0 AND false THEN CAST(q AS VARCHAR) END], lambda x: x IS NOT NULL))), '|') AS missing, round(hit / 5, 6) AS ratio FROM t""",
+    "q49_text_layer_quality": """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+      s AS (SELECT * FROM e WHERE list_contains([i * n // least(12, n) FOR i IN range(0, least(12, n))], p)),
+      x AS (SELECT user_id, count(*) FILTER (event_id % 5 < 3 AND event_type = 'click') AS clean, count(*) FILTER (event_id % 5 < 3 AND event_type <> 'click') AS garbled, count(*) FILTER (event_id % 4 = 0) / sum(CASE WHEN event_id % 5 < 3 THEN 3 ELSE 2 END) AS c FROM s GROUP BY user_id)
+      SELECT user_id, clean, garbled, round(c, 6) AS collapse, round(greatest(0, least(1, CASE WHEN clean + garbled >= 3 THEN clean / (clean + garbled) - least(0.3, c) ELSE 1 - least(1, 4 * c) END)), 6)::DOUBLE AS quality FROM x""",
     "q50_line_jaccard": """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, string_split(text, chr(10))[1] AS head FROM documents), f AS (SELECT head, arg_min(ls, doc_id) AS fl, min(doc_id) AS first_id FROM d GROUP BY head),
       j AS (SELECT doc_id, first_id, len(list_distinct(list_intersect(ls, fl))) / len(list_distinct(list_concat(ls, fl))) AS s FROM d JOIN f USING (head) WHERE doc_id > first_id)
       SELECT doc_id, first_id, round(s, 6) AS score, s >= 0.7 AS one_text FROM j""",
     "q51_vector_health": "SELECT count(*) AS n_rows, count(*) FILTER (vec_id % 50 = 3) AS n_missing, count(*) FILTER (vec_id % 50 = 1) AS n_other_size, count(*) FILTER (vec_id % 50 = 2) AS n_zero, CAST(0 AS BIGINT) AS n_not_finite FROM embeddings",
     "q52_stratified_quota": f"WITH {_QUOTA} SELECT stratum, size, CAST(quota AS BIGINT) AS quota FROM q",
     "q52b_stratified_sample": f"WITH {_QUOTA} SELECT stratum, CAST(quota AS BIGINT) AS picked FROM q WHERE quota > 0",
-    "q53_score_review": """WITH r AS (SELECT quality, toxic, CASE WHEN n_chars > 1500 THEN '1' WHEN n_chars IS NOT NULL THEN '0' ELSE 'missing' END AS g FROM labels LEFT JOIN (SELECT * FROM documents WHERE doc_id % 9 <> 0) USING (doc_id))
+    "q53_score_review": """WITH r AS (SELECT quality, toxic, CASE WHEN n_chars > 1500 THEN '1' WHEN n_chars IS NOT NULL THEN '0' ELSE 'missing' END AS g FROM labels LEFT JOIN documents USING (doc_id))
       SELECT concat(quality, '->', g) AS transition, count(*) AS n, count(*) FILTER (toxic = 1) AS flagged FROM r GROUP BY 1""",
     "q54_table_bench": """WITH r AS (SELECT unnest(['p_brand', 'p_type', 'p_size']) AS name, unnest([p_partkey % 13 <> 0 AND p_partkey % 5 <> 0, p_partkey % 13 <> 0, p_partkey % 13 <> 0 AND p_partkey % 3 <> 0]) AS ok FROM part)
       SELECT name, count(*) AS cells, count(*) FILTER (ok) AS "right", round(count(*) FILTER (ok) / count(*), 4) AS accuracy FROM r GROUP BY name""",
-    "q55_ab_agreement": """WITH m AS (SELECT list_sort(list(doc_id)) AS x FROM labels), v AS (SELECT unnest(['ab', 'ac', 'bc']) AS pair, unnest([quality = toxic, quality = doc_id % 2, toxic = doc_id % 2]) AS ok FROM labels)
-      SELECT pair, count(*) AS n, count(*) FILTER (ok) AS agreed, (SELECT x[len(x) // 2 + 1] FROM m) AS median_id FROM v GROUP BY pair""",
+    "q53b_review_counters": """WITH t AS (SELECT o_orderkey, CASE WHEN o_custkey % 7 > 0 THEN o_custkey END AS a, CASE WHEN o_custkey % 5 > 0 THEN o_custkey END AS b, ['OK', 'SUSPECT', NULL][o_orderkey % 3 + 1] AS v, CASE WHEN o_totalprice > 100000 THEN 'OK' ELSE 'SUSPECT' END AS w, o_orderkey % 2 = 0 AS flag, o_orderstatus <> 'P' AS there FROM orders),
+      s AS (SELECT string_agg(x, ', ' ORDER BY x) AS transitions FROM (SELECT v || '→' || w || ' ' || count(*) AS x FROM t WHERE there AND v IS NOT NULL GROUP BY v, w))
+      SELECT count(*) FILTER (there AND a IS NOT DISTINCT FROM b) AS agree, count(*) FILTER (there AND a IS DISTINCT FROM b) AS disagree, count(*) FILTER (there AND v IS NULL AND flag) AS flagged, count(*) FILTER (there AND v IS NULL AND NOT flag) AS missed, count(*) FILTER (NOT there) AS missing, any_value(transitions) AS transitions FROM t, s""",
+    "q54b_table_counters": """WITH p AS (SELECT p_retailprice > 1000 AS f, p_retailprice > 1000 AND p_partkey % 5 <> 0 AS a, p_retailprice > 1000 AS b, p_retailprice > 1000 AND p_partkey % 3 <> 0 AS c FROM part), n AS (SELECT count(*) AS n, count(*) FILTER (f) AS f, count(*) FILTER (a AND b AND c) AS w, count(*) FILTER (a) AS a, count(*) FILTER (b) AS b, count(*) FILTER (c) AS c FROM p)
+      SELECT n AS keys, f AS found, w AS full_rows, a + b + c AS right_cells, 3 * n - a - b - c AS wrong_cells, round((a + b + c) / (3 * n), 4) AS accuracy, array_to_string([x.name FOR x IN list_sort([{'k': a, 'i': 0, 'name': 'p_brand'}, {'k': b, 'i': 1, 'name': 'norm'}, {'k': c, 'i': 2, 'name': 'size'}]) IF x.k < n], ',') AS worst FROM n""",
+    "q55_ab_agreement": """WITH v AS (SELECT unnest(['a', 'a', 'b']) AS a, unnest(['b', 'c', 'c']) AS b, unnest([quality = toxic, quality = doc_id % 2, toxic = doc_id % 2]) AS ok FROM labels)
+      SELECT a, b, count(*) AS n, count(*) FILTER (ok) AS agreed, round(count(*) FILTER (ok) / count(*), 4) AS share FROM v GROUP BY a, b""",
+    "q55b_answer_summary": """WITH v AS (SELECT doc_id, unnest(['a', 'b', 'c']) AS judge, unnest([quality, toxic, CAST(doc_id % 2 AS INT)]) = quality AS ok FROM labels), m AS (SELECT list_sort(list(doc_id % 17)) AS x FROM labels),
+      s AS (SELECT judge, doc_id % 3 = 0 AS core, avg(CAST(ok AS INT)) AS share FROM v GROUP BY ALL), w AS (SELECT judge, round(sum(CASE WHEN core THEN 3 * share ELSE share END) / sum(CASE WHEN core THEN 3 ELSE 1 END), 6) AS score, CASE WHEN min(share) FILTER (core) < 0.6 THEN 'rejected' ELSE 'accepted' END AS verdict FROM s GROUP BY judge)
+      SELECT judge, count(*) AS n, count(*) FILTER (doc_id % 11 > 0) AS parse_ok, count(*) FILTER (doc_id % 13 = 0) AS truncated, count(*) FILTER (doc_id % 19 = 0) AS errors, max(doc_id % 17) AS max_delay, count(*) FILTER (ok) AS "right", (SELECT x[len(x) // 2 + 1] FROM m) AS median, round(count(*) FILTER (ok) / count(*), 4) AS accuracy, any_value(score) AS score, any_value(verdict) AS verdict FROM v JOIN w USING (judge) GROUP BY judge""",
+    "q56b_call_stats": """SELECT key, calls, CAST(rank AS INT) AS rank, by FROM (SELECT event_type AS key, count(*) AS calls, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rank, 'event_type' AS by FROM events GROUP BY 1 UNION ALL
+      SELECT CAST(user_id AS VARCHAR), count(*), row_number() OVER (ORDER BY count(*) DESC, CAST(user_id AS VARCHAR)), 'user_id' FROM events GROUP BY 1) WHERE rank <= 5""",
     "q56_usage_buckets": """WITH e AS (SELECT CAST(ts AS DATE) AS d, CAST(json_extract_string(props, '$.k') AS DECIMAL(18,2)) AS k FROM events)
       SELECT count(*) FILTER (d = DATE '2024-01-20') AS calls_today, sum(k) FILTER (d = DATE '2024-01-20') AS amount_today, count(*) FILTER (d > DATE '2024-01-13' AND d <= DATE '2024-01-20') AS calls_week, sum(k) FILTER (d > DATE '2024-01-13' AND d <= DATE '2024-01-20') AS amount_week,
         count(*) FILTER (strftime(d, '%Y%m') = '202401') AS calls_month, sum(k) FILTER (strftime(d, '%Y%m') = '202401') AS amount_month, count(*) AS calls_all, sum(k) AS amount_all FROM e""",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import audit, evidence, lookups
+from tallyforge.plans import audit, evidence, lookups, records
 
-_PARTS = (audit, lookups, evidence)
+_PARTS = (audit, lookups, evidence, records)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,34 +19,73 @@ HEADERS = {
     "quantity": ["quantity", "qty", "q'ty"],
     "welder_id": ["welder", "welderid"],
 }
+#: Disciplines in order, and texts of which a sheet's name holds one, in any case.
+DISCIPLINES = {"CP-P1": ["CP-P1", "piping"], "CP-M1": ["CP-M1", "mechanical"], "CP-E1": ["CP-E1", "I&E"], "CP-A1": ["CP-A1", "C&A"]}
+
 
+def discipline_of(name: Column, disciplines: dict[str, list[str]] | None = None) -> Column:
+    """The first discipline one of whose texts a sheet's name holds, in any case; null if none."""
+    holds = lambda word: F.contains(F.lower(name), F.lit(word.lower()))
+    known = (disciplines or DISCIPLINES).items()
+    return F.coalesce(*[F.when(reduce(lambda a, b: a | b, map(holds, words)), F.lit(d)) for d, words in known])
 
-def headers(cells: DataFrame, least: int = 3) -> DataFrame:
+
+def headers(cells: DataFrame, least: int = 3, names: dict[str, list[str]] | None = None) -> DataFrame:
     """sheet, head_row, field, col: the first row of each sheet that names most of the fields, ``least`` or more."""
-    names = cells.sparkSession.createDataFrame([(word, field) for field, words in HEADERS.items() for word in words], "token string, field string")
-    found = cells.withColumn("token", squeezed(F.col("value"))).join(F.broadcast(names), "token")
+    names = names or HEADERS
+    pairs = [(word, field) for field, words in names.items() for word in words]
+    table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    found = cells.withColumn("field", F.try_element_at(table, squeezed(F.coalesce("value", F.lit(""))))).where("field IS NOT NULL")
     rows = found.groupBy("sheet", "row").agg(F.countDistinct("field").alias("n")).where(F.col("n") >= least)
-    best = rows.withColumn("_k", F.row_number().over(Window.partitionBy("sheet").orderBy(F.desc("n"), "row"))).where("_k = 1").select("sheet", F.col("row").alias("head_row"))
+    best = rows.groupBy("sheet").agg(F.min_by("row", F.struct(-F.col("n"), "row")).alias("head_row"))
     at = found.join(best, "sheet").where("row = head_row")
     return at.groupBy("sheet", "head_row", "field").agg(F.min("col").alias("col"))
 
 
-def claims(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+def claims(cells: DataFrame, disciplines: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(claims, skipped) of the sheet with the most valid rows; the first sheet by name wins a tie.
 
-    A row is valid with a joint and a method; others of the sheet that hold anything are skipped, not lost.
+    With ``disciplines`` only sheets whose names tell a discipline are looked at, and both parts say which. A row is valid
+    with a joint and a method; others of the sheet that hold anything are skipped, not lost. Rows keep their number.
     """
-    at = headers(cells)
-    body = cells.where("value IS NOT NULL").join(at, ["sheet", "col"]).where("row > head_row")
-    rows = body.groupBy("sheet", "row").pivot("field", list(HEADERS)).agg(F.first("value"))
+    if disciplines is not None:
+        cells = cells.withColumn("discipline", discipline_of(F.col("sheet"), disciplines)).where("discipline IS NOT NULL")
+    keys = ["sheet", "row"] + (["discipline"] if disciplines is not None else [])
+    body = cells.where("value IS NOT NULL").join(headers(cells), ["sheet", "col"]).where("row > head_row")
+    rows = body.groupBy(*keys).pivot("field", list(HEADERS)).agg(F.first("value"))
     valid = F.coalesce(F.trim("joint_no") != "", F.lit(False)) & F.coalesce(F.trim("ndt_method") != "", F.lit(False))
     rows = rows.withColumn("_valid", valid)
     counts = rows.groupBy("sheet").agg(F.sum(F.col("_valid").cast("long")).alias("n"))
-    chosen = counts.orderBy(F.desc("n"), "sheet").limit(1).select("sheet")
+    chosen = counts.agg(F.min_by("sheet", F.struct(-F.col("n"), "sheet")).alias("sheet"))
     rows = rows.join(F.broadcast(chosen), "sheet")
     return rows.where("_valid").drop("_valid"), rows.where("NOT _valid").drop("_valid")
 
 
+def first_values(rows: DataFrame, key: str, ordinal: str, *values: str) -> DataFrame:
+    """key, and for each of ``values`` the first that isn't blank in the order of ``ordinal``, with <value>_conflict if others differ."""
+    out = []
+    for v in values:
+        given = F.when(F.trim(F.coalesce(v, F.lit(""))) != "", F.col(v))
+        out += [F.min_by(given, F.when(given.isNotNull(), F.col(ordinal))).alias(v), (F.countDistinct(given) > 1).alias(f"{v}_conflict")]
+    return rows.groupBy(key).agg(*out)
+
+
+def filled(items: DataFrame, known: DataFrame, key: str, *values: str) -> DataFrame:
+    """items with blank ``values`` filled from the row of the same key (a row a key); what is there stays."""
+    right = known.select(key, *[F.col(v).alias(f"_{v}") for v in values])
+    out = items.join(right, key, "left")
+    return out.withColumns({v: F.coalesce(F.when(F.trim(v) != "", F.col(v)), F.col(f"_{v}")) for v in values}).drop(*[f"_{v}" for v in values])
+
+
+def exploded_cells(rows: DataFrame, cell: str, ordinal: str, breaks: str = r"[\n,;]") -> DataFrame:
+    """One row for each number in a cell that holds several, with shared_cell; the last row of a repeated number counts."""
+    parts = F.filter(F.transform(F.split(cell, breaks), lambda x: F.trim(x)), lambda x: x != "")
+    every = rows.withColumn("_parts", parts).withColumn("number", F.explode("_parts")).withColumn("shared_cell", F.size("_parts") > 1).drop("_parts")
+    rest = [c for c in every.columns if c != "number"]
+    best = every.groupBy("number").agg(F.max_by(F.struct(*rest), ordinal).alias("_r"))
+    return best.select("number", "_r.*")
+
+
 def quantity_columns(cells: DataFrame, labels_row: int, quantities_row: int) -> DataFrame:
     """sheet, method, col: the first quantity column within the span of each method's label."""
     label = F.regexp_extract(F.lower("value"), r"^\s*(pt|ut|vt|rt|mt)\b", 1)
@@ -72,13 +113,29 @@ def best_variant(variants: DataFrame) -> DataFrame:
     return variants.groupBy("doc", "page_index").agg(F.max_by("text", order).alias("text"))
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """pages (doc, page_index, layer_text, ocr_text) with text, source and confidence: the layer where the document has one."""
+    out = pages.join(pages_with_text(pages.withColumnRenamed("layer_text", "text")), "doc", "left")
+    layer = F.coalesce("has_layer", F.lit(False))
+    return out.withColumn("text", F.when(layer, F.col("layer_text")).otherwise(F.col("ocr_text"))).withColumn("source", F.when(layer, "layer").otherwise("ocr")).drop("has_layer")
+
+
 def pruned_editions(files: DataFrame) -> DataFrame:
-    """files (path) without scans where the text edition is there, and without .R where .E is."""
+    """files (path) without scans of a text edition that is there, and without .R where .E is there.
+
+    A name with _scan in it is such a scan if it begins with the name of a file without _scan, and an underscore. The
+    beginnings of each scan's name that end before an underscore are joined on equality.
+    """
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     rows = files.withColumn("_stem", stem)
-    other = F.when(F.endswith("_stem", F.lit("_scan")), F.regexp_replace("_stem", "_scan$", "")).when(F.endswith("_stem", F.lit(".R")), F.regexp_replace("_stem", r"\.R$", ".E"))
-    rows = rows.withColumn("_other", other)
-    return rows.join(files.select(stem.alias("_other")).distinct(), "_other", "left_anti").drop("_stem", "_other")
+    scan = F.contains("_stem", F.lit("_scan"))
+    names = rows.select(F.col("_stem").alias("_other")).distinct()
+    parts = F.split("_stem", "_", -1)
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "_"))
+    scans = rows.where(scan).select("_stem", F.explode(heads).alias("_other")).where("_other <> _stem")
+    scans = scans.join(names.where("NOT contains(_other, '_scan')"), "_other", "left_semi").select("_stem")
+    russian = rows.where(F.endswith("_stem", F.lit(".R"))).select("_stem", F.regexp_replace("_stem", r"R$", "E").alias("_other")).join(names, "_other", "left_semi").select("_stem")
+    return rows.join(scans.union(russian).distinct(), "_stem", "left_anti").drop("_stem")
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
