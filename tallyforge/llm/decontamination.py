@@ -1,9 +1,9 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame functions only.
 
-The index holds postings (document, position, term) of the training tokens; those of the queries' terms are written once
-and read twice, for the terms' frequencies and for their lists. A query item is cut into windows; each window is sought
-by the postings of its two rarest terms, whose lists are shifted by the terms' offsets and intersected. What is left is
-compared word by word, in the few documents that have any.
+The index holds postings (document, position, term) of the training tokens. A query item is cut into windows; each window is
+sought by its two rarest terms. A first pass counts the terms of all items; the postings of those that some window is
+sought by are then stored, and their lists, shifted by the terms' offsets, intersected. What is left is compared word by
+word, in the few documents that have any. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -74,16 +74,15 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     items = cut(query_terms(items))
     terms = cut(items.select(F.explode("words").alias("term")).distinct().withColumn("t", F.xxhash64("term")))
-    at = new_folder(spark, "postings")
     hashed = postings(docs).select("doc", "pos", F.xxhash64("term").alias("t"))  # terms that share one by chance are told apart below
-    hashed.join(_small(terms.select("t").distinct()), "t").select("doc", "pos", "t").write.parquet(at)
-    index = spark.read.parquet(at)
-    frequency = index.groupBy("t").agg(F.count("*").alias("n")).join(terms, "t").select("term", "n")
+    frequency = hashed.select("t").join(_small(terms.select("t").distinct()), "t").groupBy("t").agg(F.count("*").alias("n")).join(terms, "t").select("term", "n")
     plan = cut(plans(items, cut(frequency), window).withColumn("plan", F.xxhash64("item_id", "words", "first", "second", "lo")))
     both = F.array(F.struct(F.col("first").alias("offset"), F.lit(1).alias("bit")), F.struct(F.col("second").alias("offset"), F.lit(2).alias("bit")))
     sought = plan.select("plan", "words", "lo", F.explode(both).alias("x"))
     sought = sought.select("plan", F.xxhash64(F.expr("words[x.offset - lo]")).alias("t"), "x.offset", "x.bit")
-    lists = index.join(_small(sought), "t")
+    at = new_folder(spark, "postings")
+    hashed.join(_small(sought.select("t").distinct()), "t").select("doc", "pos", "t").write.parquet(at)
+    lists = spark.read.parquet(at).join(_small(sought), "t")
     met = lists.groupBy("doc", "plan", (F.col("pos") - F.col("offset")).alias("shift")).agg(F.bit_or("bit").alias("bits")).where("bits = 3")
     met = cut(met.groupBy("doc", "plan").agg(F.collect_list("shift").alias("shifts")))
     remove(spark, at)
