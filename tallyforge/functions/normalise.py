@@ -18,6 +18,11 @@ RESULT_NAMES = {
     "REJ": ("R", "REJ", "Reject", "Rejected", "불합격", "NG", "FAIL"),
     "PENDING": ("P", "PEND", "Pending", "보류", "재검사"),
 }
+def let(value: Column, use) -> Column:
+    """use(value), where the value is computed once for all places in which ``use`` has it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def match_key(c: Column) -> Column:
     """Trimmed, without a leading "no.", upper case, without blanks, hyphens and underscores."""
     return F.upper(F.translate(F.regexp_replace(F.trim(c), r"(?i)^no\.\s*", ""), " -_", ""))

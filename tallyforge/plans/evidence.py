@@ -255,7 +255,7 @@ def answer_summary(spark, sf_dir: str) -> DataFrame:
 def call_stats(spark, sf_dir: str) -> DataFrame:
     """Types and users with the most calls."""
     events = table(spark, sf_dir, "events")
-    one, two = (ledger.call_stats(events.withColumn("key", F.col(c).cast("string")), "key").withColumn("by", F.lit(c)) for c in ("event_type", "user_id"))
+    one, two = (ledger.call_stats(events.withColumn("key", F.col(c).cast("string")), "key").withColumn("field", F.lit(c)) for c in ("event_type", "user_id"))
     return one.unionByName(two)
 
 
@@ -401,7 +401,7 @@ SQL = {
     "q55b_answer_summary": """WITH v AS (SELECT doc_id, unnest(['a', 'b', 'c']) AS judge, unnest([quality, toxic, CAST(doc_id % 2 AS INT)]) = quality AS ok FROM labels), m AS (SELECT list_sort(list(doc_id % 17)) AS x FROM labels),
       s AS (SELECT judge, doc_id % 3 = 0 AS core, avg(CAST(ok AS INT)) AS share FROM v GROUP BY ALL), w AS (SELECT judge, round(sum(CASE WHEN core THEN 3 * share ELSE share END) / sum(CASE WHEN core THEN 3 ELSE 1 END), 6) AS score, CASE WHEN min(share) FILTER (core) < 0.6 THEN 'rejected' ELSE 'accepted' END AS verdict FROM s GROUP BY judge)
       SELECT judge, count(*) AS n, count(*) FILTER (doc_id % 11 > 0) AS parse_ok, count(*) FILTER (doc_id % 13 = 0) AS truncated, count(*) FILTER (doc_id % 19 = 0) AS errors, max(doc_id % 17) AS max_delay, count(*) FILTER (ok) AS "right", (SELECT x[len(x) // 2 + 1] FROM m) AS median, round(count(*) FILTER (ok) / count(*), 4) AS accuracy, any_value(score) AS score, any_value(verdict) AS verdict FROM v JOIN w USING (judge) GROUP BY judge""",
-    "q56b_call_stats": """SELECT key, calls, CAST(rank AS INT) AS rank, by FROM (SELECT event_type AS key, count(*) AS calls, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rank, 'event_type' AS by FROM events GROUP BY 1 UNION ALL
+    "q56b_call_stats": """SELECT key, calls, CAST(rank AS INT) AS rank, field FROM (SELECT event_type AS key, count(*) AS calls, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rank, 'event_type' AS field FROM events GROUP BY 1 UNION ALL
       SELECT CAST(user_id AS VARCHAR), count(*), row_number() OVER (ORDER BY count(*) DESC, CAST(user_id AS VARCHAR)), 'user_id' FROM events GROUP BY 1) WHERE rank <= 5""",
     "q56_usage_buckets": """WITH e AS (SELECT CAST(ts AS DATE) AS d, CAST(json_extract_string(props, '$.k') AS DECIMAL(18,2)) AS k FROM events)
       SELECT count(*) FILTER (d = DATE '2024-01-20') AS calls_today, sum(k) FILTER (d = DATE '2024-01-20') AS amount_today, count(*) FILTER (d > DATE '2024-01-13' AND d <= DATE '2024-01-20') AS calls_week, sum(k) FILTER (d > DATE '2024-01-13' AND d <= DATE '2024-01-20') AS amount_week,

@@ -1,6 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evidence, ledger, lookup, matching, rules, search, sequence
+from tallyforge import config
+from tallyforge.functions import normalise
+from tallyforge.operators import basis, evidence, fuzzy, ledger, lookup, matching, rules, search, sequence
 from tallyforge.sources import cells, sinks
 
 REPORTS = "report_id string, report_no string, ndt_method string, joints array<struct<joint_no:string,welder_id:string>>"
@@ -38,10 +41,112 @@ def test_verdicts(spark):
     assert df.where((final != F.col("final")) | (disagree != F.col("disagree"))).count() == 0
 
 
-def test_rule_strength_is_three_valued(spark):
-    df = spark.createDataFrame([("t", "q", None, "0.9", False, ""), ("t", "q", False, "0.9", False, ""), ("t", "q", None, "0.3", False, ""), ("t", "", None, "0.9", False, ""), ("t", "q", None, "0.9", None, ""), ("t", "q", None, "0.9", False, "repair of pipe"), ("t", "q", None, "0.9", False, "after weld")], "trigger string, quote string, ok boolean, sure string, flagged boolean, context string")
-    got = df.select(rules.rule_strength(*[F.col(c) for c in df.columns[:4]], F.col("flagged"), F.col("context"), F.array(F.lit("WELD"))).alias("x")).collect()
-    assert [r.x for r in got] == ["strong", "weak", "weak", "weak", "weak", "weak", "strong"]
+RULE = ("PT", "weld of plate", None, "q", None, "0.9")
+
+
+def classified(spark, docs, claim=("PT", "M1", "NP.D.X.1.0UMA&&9PAB&&.1", "plate off")):
+    rows = spark.createDataFrame(docs, basis.DOCUMENT)
+    claims = spark.createDataFrame([claim], "ndt_method string, discipline string, drawing_no string, report_context string")
+    return tuple(basis.classified(claims, rows).select("state", "reason", "docs").first())
+
+
+def document(n, rules_=(RULE,), kks="0UMA&&9PAB&&", review=False, schema=2, sure="0.8", general=(), sampling=()):
+    return (n, f"D{n}", kks, [], review, schema, sure, list(rules_), list(general), list(sampling))
+
+
+def test_basis_gate(spark):
+    silent = [("RT", "t", None, "q", None, "0.9")]
+    assert classified(spark, [document(1)]) == ("covered", "covered_by_conditional", ["D1"])
+    for bad in (("ALL", *RULE[1:]), (*RULE[:3], "", *RULE[4:]), (*RULE[:4], False, "0.9"), (*RULE[:5], "0.3"), (*RULE[:5], "x")):
+        assert classified(spark, [document(1, [bad])])[0] == ("no_basis_found" if bad[0] == "ALL" else "unclear")
+    assert classified(spark, [document(1, review=None)])[0] == "unclear"  # no flag counts as flagged
+    assert classified(spark, [document(1)], ("PT", "M1", "NP.D.X.1.0UMA&&9PAB&&.1", "repair"))[0] == "unclear"
+    assert classified(spark, [document(1, silent)]) == ("no_basis_found", "no_basis_found", ["D1"])
+    assert classified(spark, [document(1, silent, general=[("ALL", "sampling")])])[0] == "unclear"
+    assert classified(spark, [document(1, silent, sampling=[("PT", "0"), ("PT", "20")])])[0] == "unclear"
+    for why, doc in (("scwep_out_of_scope", document(2, silent, kks="0UMB&&9PAB&&")), ("scwep_scope_unknown", document(2, silent, kks=None)), ("scwep_legacy_schema", document(2, silent, schema=1)),
+                     ("scwep_doc_needs_review", document(2, silent, review=True)), ("scwep_low_confidence", document(2, silent, sure=None)), ("scwep_extraction_empty", document(2, []))):
+        assert classified(spark, [doc, document(3, silent, kks="0UMB&&9PAB&&")]) == ("not_submitted", why, [])
+    assert classified(spark, []) == ("not_submitted", "scwep_not_submitted", [])
+    assert classified(spark, [document(1)], (" ", None, None, None))[:2] == ("not_submitted", "billed_method_empty")
+
+
+def test_overbill_switches(spark):
+    row = spark.sql("select 'not_submitted' s, 'scwep_legacy_schema' r, array('PT') q, cast(array() as array<string>) e, true f")
+    claim = lambda q, f, **on: row.select(rules.overbill_claim(F.col("s"), F.col("r"), F.col(q), f, on)["rule"]).first()[0]
+    no = F.lit(False)
+    assert claim("q", no) == "billed_ndt_basis_not_submitted"
+    assert claim("q", no, require_conditional_schema=False) == claim("q", no, require_submitted_basis=False) == "billed_ndt_not_in_requirements"
+    assert claim("e", no, require_submitted_basis=False) == claim("q", F.col("f"), require_submitted_basis=False) == "billed_ndt_basis_not_submitted"
+    assert claim("e", no, require_submitted_basis=False, never_claim_on_empty_drawing_requirement=False) == "billed_ndt_not_in_requirements"
+
+
+def test_joint_fields_by_row(spark):
+    reports = spark.createDataFrame([("a", None, "PT", None, [("FW12", "W1")]), ("b", None, "PT", "FW13", [("FW12", "W1")])], "report_id string, report_no string, ndt_method string, joint_no string, joints array<struct<joint_no:string,welder_id:string>>")
+    items = spark.createDataFrame([(1, None, "FW12", "PT", None), (2, None, "FW13", "PT", None)], ITEMS)
+    assert {r.item_id: r.report_id for r in matching.match_reports(items, reports).collect()} == {1: "a", 2: "b"}
+
+
+def test_fuzzy_candidates_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    items = [(i, f"FW{rng.randrange(30)}", rng.choice(["PT", "VT"]), f"DW{rng.randrange(40):03}") for i in range(60)]
+    reports = [(i, rng.choice(["PT", "VMC"]), [(f"fw{rng.randrange(30)}", f"dw{rng.randrange(40):03} X{rng.randrange(2)}"), ("Z", f"DW{rng.randrange(40)}")]) for i in range(40)]
+    one = spark.createDataFrame(items, "item_id int, joint_no string, ndt_method string, welder_id string").withColumn("ndt_method", normalise.method(F.col("ndt_method")))
+    two = spark.createDataFrame(reports, "report_id int, ndt_method string, joints array<struct<joint_no:string,welder_id:string>>").withColumn("ndt_method", normalise.method(F.col("ndt_method")))
+    got = {(r.item_id, r.report_id): r.score for r in fuzzy.candidates(one, two, most=1000).collect()}
+    want = {}
+    for i, joint, how, welder in items:
+        for j, kind, rows in reports:
+            best = [max(evidence.token_set_ratio(a.upper(), b.upper()) for b in bs) for a, bs in ((joint, [r[0] for r in rows]), (welder, [r[1] for r in rows]))]
+            if how == {"VMC": "VT"}.get(kind, kind) and best[0] >= 85 and best[1] >= 90:
+                want[i, j] = (best[0] + 100 + best[1]) / 3
+    assert want and {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def test_settings():
+    found = config.settings(None, {"TALLYFORGE_MATCHING__JUDGE_GAP": "5", "TALLYFORGE_DEFAULT_PROVIDER": "big", "OTHER": "1"})
+    assert found["matching"]["judge_gap"] == 5 and found["matching"]["hold_gap"] == 5
+    with pytest.raises(KeyError):
+        config.settings(None, {"TALLYFORGE_MATCHING__NOTHING": "5"})
+    with pytest.raises(KeyError):
+        config.provider("x", found)
+    assert config.provider("x", config.merged(found, {"providers": {"big": {"url": "u"}}}))["retry"]["attempts"] == 5
+
+
+def test_error_rows_and_sets(spark, tmp_path):
+    rows = sinks.with_errors(spark.createDataFrame([("a", 1), ("a", None), ("b", 2)], "no string, v int"), {"v given": F.col("v").isNotNull()})
+    good, failed = sinks.by_set(rows, "no")
+    assert [r.no for r in good.collect()] == ["b"] and [r.error for r in failed.collect()] == ["v given"] * 2
+    assert [r[0] for r in rows.select(sinks.guarded(F.array(F.lit("x")), F.col("error"))).collect()].count(["pipeline_row_failed"]) == 1
+    old, new = (spark.createDataFrame(x, "round_no int, v int") for x in ([(1, 1), (2, 2)], [(2, 3), (2, 4)]))
+    assert sorted(tuple(r) for r in sinks.appended(old, new, "round_no").collect()) == [(1, 1), (2, 3), (2, 4)]
+    assert [r.row_index for r in sinks.with_row_index(new.withColumn("o", -F.col("v")), "o").orderBy("o").collect()] == [0, 1]
+    with pytest.raises(ValueError, match="is a code"):
+        sinks.upsert_standards(*(spark.createDataFrame([("p", t)], "file_path string, type string") for t in ("code", "scwep")))
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0]), ("c", [1.0, float("nan")])], "doc string, vec array<double>")
+    vectors.write.parquet(str(tmp_path / "v"))
+    assert [r.doc for r in sinks.read_vectors(spark, str(tmp_path / "v"), 2).collect()] == ["a"]
+    sinks.write_vectors(vectors, str(tmp_path / "w"), 2)
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 2
+    sinks.guide({"one": old, "two": new}, str(tmp_path / "g"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "g" / "two")).count() == 2
+    assert cells.read_review(spark, str(tmp_path / "g" / "one"), ["v"]).count() == 2
+    with pytest.raises(ValueError, match="missing columns: x"):
+        cells.read_review(spark, str(tmp_path / "g" / "one"), ["x"])
+
+
+def test_request_keys_keep_places(spark):
+    row = spark.sql("select 'x' a, cast(null as string) b, 'y' c, '' d")
+    keys = row.select(*[normalise.request_key(*[F.col(c) for c in cs]) for cs in ("abc", "ac", "adc", "abbc")]).first()
+    assert len(set(keys)) == 4
+
+
+def test_lenient_json_leaves_strings_alone(spark):
+    texts = ['{"k": "a,}b // c", /* no */ "n": [1, 2,],}', 'Sure: {"k": "x"} // end\n done', "```json\n{\"k\": \"y\",}\n```", "none"]
+    got = [r.k for r in spark.createDataFrame([(t,) for t in texts], "t string").select(normalise.lenient_json(F.col("t"), "k string")["k"].alias("k")).collect()]
+    assert got == ["a,}b // c", "x", "y", None]
 
 
 def test_violations(spark):
@@ -51,10 +156,10 @@ def test_violations(spark):
 
 
 def test_budget(spark):
-    claims = spark.createDataFrame([(1, 0, "100", 1), (1, 1, "100", 1), (1, 2, "1 00", 1), (1, 3, "7", 1), (2, 0, "5", None), (3, 0, "5", 9)], "row int, ordinal int, value string, page int")
+    claims = spark.createDataFrame([(1, 0, "100", 1), (1, 1, "100", 1), (1, 2, "1 00", 1), (1, 3, "7", 1), (1, 4, "8", 1), (2, 0, "5", None), (3, 0, "5", 9)], "row int, ordinal int, value string, page int")
     pages = spark.createDataFrame([(1, "100 and 100, not 1000 or x7")], "page int, text string")
     got = {(r.row, r.ordinal): r.outcome for r in evidence.budget(claims, pages).collect()}
-    assert got == {(1, 0): "kept", (1, 1): "kept", (1, 2): "over", (1, 3): "absent", (2, 0): "unverifiable", (3, 0): "unsupported"}
+    assert got == {(1, 0): "kept", (1, 1): "kept", (1, 2): "over", (1, 3): "kept", (1, 4): "absent", (2, 0): "unverifiable", (3, 0): "unsupported"}
 
 
 def test_similarity():
@@ -79,9 +184,32 @@ def test_chunks(spark):
 
 
 def test_packed(spark):
-    pages = spark.createDataFrame([("d", 1, 5), ("d", 2, 6), ("d", 3, 4), ("d", 4, 30), ("e", 1, 1)], "doc string, page int, size int")
-    got = [(r.doc, r.page, r.window) for r in sequence.packed(pages, "doc", "page", "size", 10).orderBy("doc", "page").collect()]
-    assert got == [("d", 1, 1), ("d", 2, 2), ("d", 3, 2), ("d", 4, 3), ("e", 1, 1)]
+    pages = spark.createDataFrame([("d", 0, "ab"), ("d", 1, "c" * 70), ("d", 2, "e"), ("f", 0, None)], "doc string, page int, text string")
+    got = [(r.doc, r.window, r.content) for r in sequence.packed(pages, "doc", "page", "text", 50).orderBy("doc", "window").collect()]
+    part = lambda k, text: f"---PAGE 2--- (part {k})\n{text}\n\n"
+    assert got == [("d", 1, "---PAGE 1---\nab\n\n"), ("d", 2, part(1, "c" * 26)), ("d", 3, part(2, "c" * 26)), ("d", 4, part(3, "c" * 18)), ("d", 5, "---PAGE 3---\ne\n\n"), ("f", 1, "---PAGE 1---\n\n\n")]
+
+
+def test_absorption_needs_the_page_before(spark):
+    pages = spark.createDataFrame([("d", i, x) for i, x in [(0, "A"), (1, None), (3, None), (4, "B"), (5, None)]], "doc string, page int, number string")
+    got = {(r.number, r.first_page): (r.last_page, r.absorbed_pages, r.confidence) for r in sequence.segments(pages, "doc", "page", "number").collect()}
+    assert got == {("A", 0): (1, [1], 0.7), (None, 3): (3, [], 0.2), ("B", 4): (5, [5], 0.7)}
+
+
+def test_folded_by_judge(spark):
+    rows = [("d", 0, None, None), ("d", 1, "a", None), ("d", 2, None, (False, 0.8)), ("d", 3, "a", (True, 0.9)), ("d", 4, "b", None)]
+    turns = spark.createDataFrame(rows, "doc string, page int, no string, judge struct<is_new:boolean,confidence:double>")
+    got = [(r.segment, r.first_page, r.last_page, r.no, round(r.confidence, 4)) for r in sequence.folded(turns, "doc", "page", ["no"], "judge").orderBy("segment").collect()]
+    assert got == [(1, 0, 0, None, 1.0), (2, 1, 2, "a", 0.7), (3, 3, 3, "a", 0.9), (4, 4, 4, "b", 0.95)]
+
+
+def test_digits_and_layers(spark):
+    rows = spark.createDataFrame([(1, "1,250 0,125 DN100 UGB95GML +3 4.", ["1250 100", "0.125 3 3 4"]), (2, "none", ["1"])], "id int, candidate string, references array<string>")
+    got = {r.id: (r.matched, r.total, r.invented, r.missing, r.unverified) for r in evidence.compared_texts(rows).collect()}
+    assert got == {1: (5, 5, [], ["3"], False), 2: (0, 0, [], [], True)}
+    pages = spark.createDataFrame([("d", i, "KKS code 10PAB02BR005") for i in range(25)] + [("e", 0, "a\n____\nb\nc")], "doc string, page int, text string")
+    assert {r.doc: (r.clean, r.quality) for r in evidence.layer_quality(pages, "doc", "page").collect()} == {"d": (12, 1.0), "e": (0, 0.0)}
+    assert evidence.sampled_pages(pages, "doc", "page").where("doc = 'd'").count() == 12
 
 
 def test_cited_revision(spark):
