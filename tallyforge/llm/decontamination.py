@@ -88,7 +88,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     remove(spark, at)
     found = met.join(_small(plan.select("plan", "item_id", "words", "lo", "hi", "length")), "plan")
     found = cut(found.groupBy("doc").agg(F.collect_list(F.struct("item_id", "words", "lo", "hi", "length", "shifts")).alias("found")))
-    out = docs.withColumn("doc", text_key(F.col("doc_id"), F.col("text"))).join(small(found, BROADCAST_DOCS), "doc")
+    few = docs.withColumn("doc", text_key(F.col("doc_id"), F.col("text"))).join(small(found.select("doc")), "doc", "left_semi")
+    out = few.join(found, "doc")
     out = out.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), words_of(lowered(F.col("text"))).alias("low"), "found")
     out = out.select("row", F.size("low").cast("long").alias("n_words"), F.expr(_VERIFIED).alias("hits")).where(F.size("hits") > 0)
     return cut(out.dropDuplicates(["row"]))
@@ -107,12 +108,10 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     """
     found = hits(docs, items, window).select("row", "hits")
     rows = docs.select("doc_id", row_key(docs["doc_id"], docs["text"]).alias("row"), F.size(words_of(docs["text"])).cast("long").alias("n_words"))
-    out = rows.join(small(found, BROADCAST_DOCS), "row", "left")
+    out = rows.join(found, "row", "left")
     return out.select("doc_id", "row", "n_words", F.coalesce("hits", F.expr(_NONE)).alias("hits"))
 
 
-#: Documents with hits up to which these are broadcast.
-BROADCAST_DOCS = 20_000
 _NONE = "cast(array() AS array<struct<item_id:bigint,start:int,length:int>>)"
 #: Of the windows in ``found``, those whose words are the document's at that place.
 _VERIFIED = """array_sort(array_distinct(flatten(transform(found, c -> flatten(transform(c.shifts, shift -> transform(

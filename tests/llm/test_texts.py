@@ -65,7 +65,6 @@ def test_decontamination(spark):
 
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(decontamination, "BROADCAST_DOCS", 0)
     docs, items = contaminated()
     got = decontamination.judged(spark.createDataFrame([(*d, "x") for d in docs], DOCS), spark.createDataFrame([(*i, "x") for i in items], ITEMS)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got), key=repr) == judged_by_brute(docs, items)
