@@ -58,7 +58,7 @@ def _entropy(text: Column) -> Column:
 
 
 #: Names of the lexical features, in the order in which trees see them.
-FEATURES = ("length", "host_length", "path_length", "depth", "dots", "hyphens", "digit_ratio", "digits_in_host", "parameters", "fragment", "secure", "extension", "last_length", "entropy", "host_entropy", "first_two", "suffix_share", "suffix_entropy", "lead_digit")
+FEATURES = ("length", "host_length", "path_length", "depth", "dots", "hyphens", "digit_ratio", "digits_in_host", "parameters", "fragment", "secure", "extension", "last_length", "entropy", "host_entropy", "suffix_share", "suffix_entropy")
 
 
 def features(pages: DataFrame, suffixes: DataFrame) -> DataFrame:
@@ -66,7 +66,6 @@ def features(pages: DataFrame, suffixes: DataFrame) -> DataFrame:
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     count = lambda text, pattern: F.char_length(F.regexp_replace(text, f"[^{pattern}]", ""))
     last = F.regexp_extract(path, "([^/]*)/?$", 1)
-    first = F.regexp_extract(path, "^/([^/]*)", 1)
     columns = {
         "length": F.char_length(url),
         "host_length": F.char_length(host),
@@ -83,10 +82,8 @@ def features(pages: DataFrame, suffixes: DataFrame) -> DataFrame:
         "last_length": F.char_length(last),
         "entropy": _entropy(url),
         "host_entropy": _entropy(host),
-        "first_two": F.when(F.char_length(first) == 2, F.ascii(first) * 128.0 + F.ascii(F.substring(first, 2, 1))).otherwise(0.0),
         "suffix_share": F.coalesce("suffix_share", F.lit(0.0)),
         "suffix_entropy": F.coalesce("suffix_entropy", F.lit(0.0)),
-        "lead_digit": F.coalesce(F.try_to_number(F.substring(last, 1, 1), F.lit("9")).cast("double"), F.lit(-1.0)),
     }
     out = pages.withColumn("suffix", _suffix(host)).join(suffixes, "suffix", "left")
     return out.withColumns({name: F.coalesce(value.cast("double"), F.lit(0.0)) for name, value in columns.items()})
@@ -168,6 +165,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Boosted:
     return Boosted(start, tuple(out))
 
 
+def held_out(x: np.ndarray, y: np.ndarray, every: int = 5) -> tuple[float, float]:
+    """Accuracy on each ``every``-th row of a model fitted on the others, and that of always giving the commoner verdict."""
+    out = np.arange(len(y)) % every == 0
+    model = fit(x[~out], y[~out])
+    return float(((model.scores(x[out]) > 0) == (y[out] > 0)).mean()), float(max(y[out].mean(), 1 - y[out].mean()))
+
+
 def judged(pages: DataFrame, rules=RULES, fit_rows: int = FIT_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, score for each row of pages (page_id, url).
 

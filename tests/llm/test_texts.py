@@ -108,6 +108,8 @@ def test_trees_learn_and_hold_out():
     y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
     model = url_filter.fit(x[:2000], y[:2000])
     assert ((model.scores(x[2000:]) > 0) == (y[2000:] > 0)).mean() > 0.95
+    found, plain = url_filter.held_out(x, y)
+    assert found > 0.95 > plain
     assert url_filter.fit(x[:0], y[:0]).trees == ()
     assert (url_filter.fit(x, np.ones(3000)).scores(x) > 0).all()
 
