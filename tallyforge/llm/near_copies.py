@@ -237,7 +237,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     found = cut(near_copies(docs, **how).select("row", "root"))
     least = found.groupBy("root").agg(F.min("row").alias("row"), F.count("*").alias("size")).where("size > 1")
     stay = found.groupBy("row").agg(F.count("*").alias("times"))
-    members = found.join(least.select("root", F.col("row").alias("least")), "root")
+    members = with_one(found, least.select("root", F.col("row").alias("least")), "root", "row")
     gone = cut(members.where("row <> least").select("row"))
     again = cut(stay.where("times > 1").select("row"))
     out = by_keys(docs, gone.union(again), "left_anti")
