@@ -66,7 +66,8 @@ def candidates(items: DataFrame, reports: DataFrame, thresholds: dict[str, int]
     items: item_id and the fields. reports: report_id, the fields as far as they have them, joints (array of structs with the
     rest). A report is a candidate if each field has a value on both sides that scores its threshold; a field's best joint
     counts, whichever it is. score is the fields' mean; ties go to the lesser report_id. Claims and reports meet by canonical
-    method and by a near key of the welder, never all with all.
+    method and by a near key of the welder, never all with all. Those of equal values have equal scores, so what meets is
+    distinct values: of claims, and of reports, each with its first ``most`` + 1 ids.
     """
     thresholds = thresholds or THRESHOLDS
     own = {c.lower() for c in reports.columns}
@@ -81,18 +82,27 @@ def candidates(items: DataFrame, reports: DataFrame, thresholds: dict[str, int]
     fields = list(thresholds)
     near = "welder_id" if "welder_id" in fields else fields[0]
     keys = _keys_of(thresholds[near])
+    place = Window.partitionBy(*[f"_{f}" for f in fields]).orderBy("report_id")
     left = items.select("item_id", *[F.trim(F.col(f).cast("string")).alias(f) for f in fields]).where(" AND ".join(f"{f} <> ''" for f in fields))
-    right = reports.select("report_id", *[values(f).alias(f"_{f}") for f in fields]).where(" AND ".join(f"size(_{f}) > 0" for f in fields))
-    one = left.withColumn("_m", method(F.col("ndt_method"))) if "ndt_method" in fields else left.withColumn("_m", F.lit(""))
+    right = reports.select("report_id", *[F.array_sort(values(f)).alias(f"_{f}") for f in fields]).where(" AND ".join(f"size(_{f}) > 0" for f in fields))
+    right = right.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most + 1)
+    right = right.groupBy(*[f"_{f}" for f in fields]).agg(F.array_sort(F.collect_list("report_id")).alias("_ids")).withColumn("_id", F.get("_ids", F.lit(0)))
+    claims = left.select(*fields).distinct()
+    one = claims.withColumn("_m", method(F.col("ndt_method"))) if "ndt_method" in fields else claims.withColumn("_m", F.lit(""))
     two = right.withColumn("_m", F.explode(F.array_distinct(F.transform("_ndt_method", lambda m: method(m))))) if "ndt_method" in fields else right.withColumn("_m", F.lit(""))
-    asked = one.select("item_id", "_m", F.explode(keys(F.col(near))).alias("_k"))
-    known = two.select("report_id", "_m", F.explode(f"_{near}").alias("_v")).select("report_id", "_m", F.explode(keys(F.col("_v"))).alias("_k")).distinct()
-    pairs = asked.join(known, ["_m", "_k"]).select("item_id", "report_id").distinct()
-    rows = pairs.join(left, "item_id").join(right, "report_id")
+    asked = one.select(*fields, "_m", F.explode(keys(F.col(near))).alias("_k"))
+    known = two.select("_id", "_m", F.explode(f"_{near}").alias("_v")).select("_id", "_m", F.explode(keys(F.col("_v"))).alias("_k")).distinct()
+    rows = asked.join(known, ["_m", "_k"]).select(*fields, "_id").distinct().join(right, "_id")
     for f in fields:
         rows = rows.withColumn(f"{f}_score", _best(F.col(f), F.col(f"_{f}")))
     rows = rows.where(" AND ".join(f"{f}_score >= {t}" for f, t in thresholds.items()))
     rows = rows.withColumn("score", sum((F.col(f"{f}_score") for f in fields), F.lit(0.0)) / len(fields))
+    first = Window.partitionBy(*fields).orderBy(F.desc("score"), "_id")
+    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most + 1)
+    scores = ["score", *[f"{f}_score" for f in fields]]
+    each = F.transform("_ids", lambda i: F.struct((-F.col("score")).alias("_down"), i.alias("report_id"), *scores))
+    best = rows.groupBy(*fields).agg(F.slice(F.array_sort(F.flatten(F.collect_list(each))), 1, most + 1).alias("_best"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "report_id")
+    rows = left.join(best, fields).select("item_id", F.inline("_best"))
     rows = rows.withColumn("rank", F.row_number().over(order)).withColumn("gap", F.col("score") - F.lead("score").over(order))
     return rows.where(F.col("rank") <= most).select("item_id", "report_id", "score", "rank", "gap", *[f"{f}_score" for f in fields])
