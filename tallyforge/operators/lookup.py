@@ -66,18 +66,33 @@ def by_prefix(asked: DataFrame, column: str, at: str, sets: DataFrame, number: s
     ``at`` counts (any, where ``at`` is null); a number without one in force is passed over. Beginnings are found by joins on
     equality: of texts exploded into their prefixes.
     """
-    texts = asked.select(F.col(column).alias("_text"), F.col(at).alias("_at")).where(F.col(column) != "").distinct()
-    known = sets.select(F.col(number).alias("_number"), F.col(created).alias("_created"), F.col(value).alias("_value")).where("_number <> ''")
+    pairs = asked.select(F.col(column).alias("_text"), F.col(at).alias("_at")).where(F.col(column) != "").distinct()
+    moment = lambda c: F.col(c).cast("timestamp")
+    known = sets.select(F.col(number).alias("_number"), moment(created).alias("_created"), F.col(value).alias("_value")).where("_number <> ''")
+    rank = F.struct((-F.unix_micros("_created")).alias("_age"), F.col("_value"))
+    numbers = known.groupBy("_number").agg(F.min("_created").alias("_first"), F.min(rank).alias("_newest"))
+    texts = pairs.select("_text").distinct()
     prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda i: F.substr(c, F.lit(1), i))
-    down = texts.select("_text", "_at", F.explode(prefixes(F.col("_text"))).alias("_number")).join(known, "_number")
+    down = texts.select("_text", F.explode(prefixes(F.col("_text"))).alias("_number")).join(numbers.select("_number", "_first").hint("merge"), "_number")
     down = down.withColumn("_tier", F.when(F.col("_number") == F.col("_text"), 1).otherwise(2)).withColumn("_order", -F.char_length("_number"))
-    up = known.where("length(_number) > 1").withColumn("_text", F.explode(F.slice(prefixes(F.col("_number")), F.lit(1), F.char_length("_number") - 1)))
-    up = up.join(texts, "_text").withColumn("_tier", F.lit(3)).withColumn("_order", F.lit(0))
-    every = down.select("_text", "_at", "_tier", "_order", "_number", "_created", "_value").union(up.select("_text", "_at", "_tier", "_order", "_number", "_created", "_value"))
-    rank = F.struct("_tier", "_order", "_number", (-F.unix_micros(F.col("_created").cast("timestamp"))).alias("_age"), "_value")
-    best = every.where("_at IS NULL OR _created <= _at").groupBy("_text", "_at").agg(F.min(rank).alias("_b"))
-    best = best.select("_text", "_at", F.col("_b._number").alias(number), F.col("_b._value").alias(value), F.col("_b._tier").alias("tier"))
-    return asked.join(best, F.col("_text").eqNullSafe(F.col(column)) & F.col("_at").eqNullSafe(F.col(at)), "left").drop("_text", "_at")
+    up = numbers.where("length(_number) > 1").withColumn("_text", F.explode(F.slice(prefixes(F.col("_number")), F.lit(1), F.char_length("_number") - 1)))
+    up = up.join(texts.hint("merge"), "_text").withColumn("_tier", F.lit(3)).withColumn("_order", F.lit(0))
+    links = [x.select("_text", "_tier", "_order", "_number", "_first") for x in (down, up)]
+    order = Window.partitionBy("_text").orderBy("_tier", "_order", "_number")
+    links = links[0].union(links[1]).withColumn("_before", F.min("_first").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_n", F.row_number().over(order))
+    # A number is passed over only where it has no set yet, so one counts at some moment only if it has one before all that come first.
+    links = links.where("_n = 1 OR _first < _before OR _before IS NULL AND _first IS NOT NULL")
+    found = pairs.join(links.hint("merge"), "_text").where(F.col("_at").isNull() | (F.col("_first") <= moment("_at")))
+    best = found.groupBy("_text", "_at").agg(F.min(F.struct("_tier", "_order", "_number")).alias("_b")).select("_text", "_at", "_b._tier", "_b._number")
+    # The newest set by then: sets and what is asked of a number are merged by time, and the last set is carried forward.
+    asks = best.where("_at IS NOT NULL").select("_number", moment("_at").alias("_when"), F.lit(1).alias("_side"), F.lit(None).cast(known.schema["_value"].dataType).alias("_value")).distinct()
+    both = asks.union(known.where("_created IS NOT NULL").select("_number", F.col("_created").alias("_when"), F.lit(0).alias("_side"), "_value"))
+    by_time = Window.partitionBy("_number").orderBy("_when", "_side", F.desc_nulls_last("_value")).rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("_last", F.last(F.when(F.col("_side") == 0, F.struct("_value")), ignorenulls=True).over(by_time)).where("_side = 1")
+    dated = best.where("_at IS NOT NULL").withColumn("_when", moment("_at")).join(carried.select("_number", "_when", "_last").hint("merge"), ["_number", "_when"]).select("_text", "_at", "_number", "_tier", "_last._value")
+    undated = best.where("_at IS NULL").join(numbers.select("_number", "_newest").hint("merge"), "_number").select("_text", "_at", "_number", "_tier", "_newest._value")
+    best = dated.union(undated).select("_text", "_at", F.col("_number").alias(number), F.col("_value").alias(value), F.col("_tier").alias("tier"))
+    return asked.join(best.hint("merge"), F.col("_text").eqNullSafe(F.col(column)) & F.col("_at").eqNullSafe(F.col(at)), "left").drop("_text", "_at")
 
 
 def grouped_files(files: DataFrame, keys: list[str], revision_column: str, place: str) -> DataFrame:

@@ -3,10 +3,10 @@
 from collections import Counter
 
 import pytest
-from plans import most_rows
+from plans import most_rows, nodes
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evidence, fuzzy, matching
+from tallyforge.operators import evidence, fuzzy, lookup, matching
 
 
 def test_fuzzy_candidates_meet_by_distinct_values(spark):
@@ -30,3 +30,26 @@ def test_names_of_a_block_meet_by_distinct_values(spark, score):
     want = matching.top_candidates(pairs.select("item", "candidate", by(F.col("name"), F.col("other")).alias("score")), "item", "candidate")
     columns = ["item", "candidate", "score", "rank", "gap"]
     assert Counter(map(tuple, out.where("item % 1000 < 20").select(*columns).collect())) == Counter(map(tuple, want.select(*columns).collect()))
+
+
+def test_prefixes_meet_without_a_broadcast(spark):
+    import datetime
+
+    day = lambda n: n and datetime.date(2024, 1, n)
+    texts = [(t, day(n)) for t in ("D", "D.1", "D.1.A", "D.12", "", None) for n in (None, 1, 3, 5, 9)] * 2
+    sets = [("D.1", 4, "b"), ("D.1", 4, "a"), ("D.1", 8, "c"), ("D.1", None, "n"), ("D.1.A.B", 2, "x"), ("D.12", 6, None), ("D.12", 6, "y"), ("D.0", 9, "z"), ("D.11", 1, "w"), ("", 1, "no")]
+    asked = spark.createDataFrame(texts, "text string, at date")
+    known = spark.createDataFrame([(a, day(n), v) for a, n, v in sets], "number string, created date, value string")
+    out = lookup.by_prefix(asked, "text", "at", known, "number", "created", "value")
+    assert not [name for name, _ in nodes(out) if "Broadcast" in name]
+    want = Counter()
+    for text, at in texts:
+        found = []
+        for number, n, value in sets:
+            created = day(n)
+            if text and number and (at is None or created and created <= at) and (text.startswith(number) or number.startswith(text)):
+                tier = 1 if number == text else 2 if text.startswith(number) else 3
+                age = (created is not None, -created.toordinal() if created else 0)
+                found.append(((tier, -len(number) if tier == 2 else 0, number, age, value is not None, value or ""), (number, value, tier)))
+        want[text, at, *min(found, default=(0, (None, None, None)))[1]] += 1
+    assert Counter((r.text, r.at, r.number, r.value, r.tier) for r in out.collect()) == want
