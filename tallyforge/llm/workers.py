@@ -13,6 +13,22 @@ from pyspark.sql import SparkSession
 TEXT_ROWS = 1000
 
 
+#: Bytes from which an array gets pages of its own, which go back when it is freed. glibc raises this up to 32 MB as arrays are
+#: freed, after which they stay in the heap's holes; a fixed number keeps it. Pools of threads, of which each keeps its own.
+OWN_PAGES, POOLS = 1 << 20, 1
+
+
+@functools.cache
+def keep_little() -> None:
+    """Makes this process's allocator return large arrays at once, for as long as it lives."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, OWN_PAGES)  # M_MMAP_THRESHOLD
+        libc.mallopt(-8, POOLS)  # M_ARENA_MAX
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def give_back() -> None:
     """Returns what is free in this process's pools to the system."""
     pa.default_memory_pool().release_unused()
@@ -27,6 +43,8 @@ def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     @functools.wraps(f)
     def run(batches: Iterator) -> Iterator:
+        keep_little()
+        give_back()  # what the task before held until its end
         try:
             yield from f(batches)
         finally:
