@@ -13,14 +13,17 @@ v + i of a bit vector. select(i), the place of the i-th 1, gives the value back:
 
 from __future__ import annotations
 
-import re
+import codecs
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,13 +35,17 @@ from tallyforge.llm.workers import text_batches, tidy
 MAGIC, HEAD = b"TFEF", struct.Struct("<4sBBBBII")
 #: Id appended to each document, ids that close a segment, and words whose ids a worker keeps.
 END, SEGMENT_IDS, CACHE = 1, 1 << 22, 250_000
+#: Bytes of text that are split at a time, and words that the model gets at a time.
+SLICE, WORDS = 1 << 22, 4096
 
 #: Letters whose case and composed form are plain: all normalisers agree on them.
 PLAIN = "abcdefghijklmnopqrstuvwxyzàáâäæçèéêëìíîïñòóôöùúûüß"
+LETTERS = PLAIN + PLAIN.replace("ß", "").upper()
 #: A plain word, perhaps capital, with marks that no contraction or special token has.
-_SIMPLE = re.compile(f"([(\\[\"*|]*)([{PLAIN}{PLAIN.replace('ß', '').upper()}]+)([.,;:!?)\\]\"*$%&#|]*)\\Z")
-#: White space for str.split() but not for tokenizers' regular expressions; texts with any are encoded whole.
-_SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
+_SIMPLE = f"^(?P<before>[(\\[\"*|]*)(?P<word>[{LETTERS}]+)(?P<after>[.,;:!?)\\]\"*$%&#|]*)$"
+_PLAIN = f"^[{PLAIN}]+$"
+#: White space for a split but not for tokenizers' regular expressions; texts with any are encoded whole.
+_SPLIT_ONLY = "[\x1c-\x1f]"
 
 
 class EliasFano:
@@ -104,92 +111,143 @@ def opened(raw: bytes) -> tuple[np.ndarray, np.ndarray, EliasFano]:
     return ids, doc_ids, EliasFano(docs, bits, low, np.frombuffer(raw, np.uint8, offset=at + len(low)))
 
 
-class Pieces(dict):
-    """The ids of a text's pieces (its runs without white space), as bytes; a piece is encoded when it is first asked for.
+def gathered(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the stretches that ``flat`` is made of those at ``codes``, one after another, and their lengths."""
+    n = lengths[codes]
+    starts, ends = np.cumsum(lengths) - lengths, np.cumsum(n)
+    return flat[np.arange(n.sum()) + np.repeat(starts[codes] - ends + n, n)], n
 
-    Two generations of at most ``room`` pieces each are kept, so frequent pieces stay. The ids of words within pieces
-    are kept in the same way. Pieces of PLAIN letters, with marks around them at most, go to the tokenizer's model
-    directly, in the form that its normaliser and pre-tokenizer give them; all others go through the whole tokenizer.
-    """
 
-    def __init__(self, tokenizer, dtype: str, room: int):
-        super().__init__()
-        self.tokenizer, self.dtype, self.room, self.old, self.words = tokenizer, dtype, room, {}, {}
-        self.bytes_of = self._byte_letters()
+class Words:
+    """The ids of strings without white space, as bytes; those not kept are encoded many at a time.
+
+    Two generations of about ``room`` strings each are kept, so frequent ones stay. Words of PLAIN letters go to the
+    tokenizer's model, in the form that its normaliser and pre-tokenizer give them and side by side: a word's last id is
+    one that ends words. All others go through the whole tokenizer.
+    """
 
-    def _byte_letters(self) -> dict[int, str] | None:
-        """Each plain letter as the pre-tokenizer writes it; None if the tokenizer isn't of the kind that this fits."""
+    def __init__(self, tokenizer, dtype: str, room: int, side_by_side: bool = True):
+        self.tokenizer, self.dtype, self.room = tokenizer, dtype, room
+        self.kept, self.old = {}, {}
+        self.bytes_of = self._byte_letters() if side_by_side else None
+        if self.bytes_of:
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            self.bare = Tokenizer(tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            vocab = tokenizer.get_vocab(with_added_tokens=False)
+            self.closes = np.zeros(max(vocab.values()) + 1, bool)
+            self.closes[[i for token, i in vocab.items() if token.endswith(tokenizer.model.end_of_word_suffix)]] = True
+
+    def _byte_letters(self) -> str | None:
+        """Each byte of plain letters as the pre-tokenizer writes it; None if the tokenizer isn't of the kind that this fits."""
         steps = self.tokenizer.pre_tokenizer
-        table = {}
+        table = {ord(" "): " "}
         for c in PLAIN:
-            got = steps.pre_tokenize_str(c) if steps else []
-            if len(got) != 1:
-                return None
-            table[ord(c)] = got[0][0]
-        self.bytes_of = table
-        for probe in ("étéß", "strassen", "Über,", "(Niño)", "a!!", "zz***", "\"word\"", "x", "THE.", "ÀB;"):
-            if self._fast(probe) != self._slow(probe):
+            got, raw = steps.pre_tokenize_str(c) if steps else [], c.encode()
+            if len(got) != 1 or len(got[0][0]) != len(raw) or any(table.setdefault(*x) != x[1] for x in zip(raw, got[0][0], strict=True)):
                 return None
-        return table
-
-    def _slow(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= self.room:
-                self.words.clear()
-            ids = [t.id for t in self.tokenizer.model.tokenize(word.translate(self.bytes_of))]
-            got = self.words[word] = np.array(ids, self.dtype).tobytes()
-        return got
-
-    def _fast(self, piece: str) -> bytes | None:
-        m = _SIMPLE.match(piece)
-        if not m:
-            return None
-        before, word, after = m.groups()
-        return (self._marks(before) if before else b"") + self._word(word.lower()) + (self._marks(after) if after else b"")
-
-    def _marks(self, marks: str) -> bytes:
-        got = self.words.get(marks)
-        if got is None:
-            got = self.words[marks] = self._slow(marks)
-        return got
-
-    def __missing__(self, piece: str) -> bytes:
-        got = self.old.get(piece)
-        if got is None:
-            got = (self._fast(piece) if self.bytes_of else None) or self._slow(piece)
-        if len(self) >= self.room:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = got
+        return "".join(table.get(i, "\ufffe") for i in range(256)) if getattr(self.tokenizer.model, "end_of_word_suffix", None) else None
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _side_by_side(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words."""
+        out = []
+        for at in range(0, len(words), WORDS):
+            some = words[at : at + WORDS]
+            line = codecs.charmap_decode(" ".join(some).encode(), "strict", self.bytes_of)[0]
+            ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                out += map(self.whole, some)
+                continue
+            raw, ends = ids.astype(self.dtype).tobytes(), (ends * np.dtype(self.dtype).itemsize).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    def ids(self, strings: pa.Array) -> list[bytes]:
+        """The ids of each of the strings, which are distinct."""
+        words = strings.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.kept.get, words))
+        gaps = [i for i, ids in enumerate(got) if ids is None]
+        new = []
+        for i in gaps:
+            got[i] = self.old.get(words[i])
+            if got[i] is None:
+                new.append(i)
+        plain = pc.match_substring_regex(strings.take(pa.array(new, pa.int64())), _PLAIN).to_pylist() if self.bytes_of else [False] * len(new)
+        side = list(compress(new, plain))
+        for i, ids in zip(side, self._side_by_side([words[i] for i in side]), strict=True):
+            got[i] = ids
+        for i in new:
+            if got[i] is None:
+                got[i] = self.whole(words[i])
+        if len(self.kept) + len(gaps) > self.room:
+            self.old, self.kept = self.kept, {}
+        self.kept.update((words[i], got[i]) for i in gaps)
         return got
 
 
 class Encoder:
     """Ids of texts by a tokenizer that drops white space: the ids of a text are those of its pieces, one by one.
 
-    Where the tokenizer keeps white space (or a text has some that only split() takes for it), texts are encoded whole.
+    A piece is a run without white space. Those of letters with marks around them at most are cut into the marks and the
+    word, in lower case. Each distinct string of a slice of texts is looked up once; its ids are then copied to all its
+    places. Where the tokenizer keeps white space (or a text has some that only the split takes for it), texts are
+    encoded whole.
     """
 
     def __init__(self, path: str, width: int, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = Pieces(self.tokenizer, f"<u{width}", cache)
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), f"<u{width}"
+        self.words = Words(self.tokenizer, self.dtype, cache)
         self.by_piece = self._drops_space()
+        if self.words.bytes_of and not (self.by_piece and self._cuts_marks()):
+            self.words = Words(self.tokenizer, self.dtype, cache, side_by_side=False)
 
     def _drops_space(self) -> bool:
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         probe = ["a b", "a  b\n\tc", "1 2", ". .", "é è", "a 's", "' s"]
         return all(ids(x) == sum((ids(p) for p in x.split()), []) for x in probe)
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_piece or any(c in text for c in _SPLIT_ONLY):
-            return self.pieces._slow(text)
-        return b"".join(map(self.pieces.__getitem__, text.split()))
+    def _cuts_marks(self) -> bool:
+        probe = ["étéß", "strassen", "Über,", "(Niño)", "a!!", "zz***", "\"word\"", "x", "THE.", "ÀB;", *LETTERS]
+        return list(self._slice(pa.array(probe))) == [self.words.whole(x) for x in probe]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after another, and how many each has."""
+        parts = [pieces]
+        if self.words.bytes_of:
+            before, word, after = pc.extract_regex(pieces, _SIMPLE).flatten()
+            parts = [pc.fill_null(before, ""), pc.coalesce(pc.utf8_lower(word), pieces), pc.fill_null(after, "")]
+        strings = pa.concat_arrays(parts).dictionary_encode()
+        ids = self.words.ids(strings.dictionary)
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        flat, n = gathered(flat, lengths, strings.indices.to_numpy().reshape(len(parts), -1).T.ravel())
+        return flat, n.reshape(-1, len(parts)).sum(axis=1)
+
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
+        whole = pc.match_substring_regex(texts, _SPLIT_ONLY)
+        split = pc.utf8_split_whitespace(pc.if_else(whole, "", texts))
+        pieces = split.flatten().dictionary_encode()
+        ids, n = gathered(*self._pieces(pieces.dictionary), pieces.indices.to_numpy())
+        ends = np.append(0, np.cumsum(n))[split.offsets.to_numpy()].tolist()
+        for i, alone in enumerate(whole.to_pylist()):
+            yield self.words.whole(texts[i].as_py()) if alone else ids[ends[i] : ends[i + 1]].tobytes()
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (none of them null)."""
+        if not self.by_piece:
+            yield from (self.words.whole(t.as_py()) for t in texts)
+            return
+        number = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // SLICE
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+            yield from self._slice(texts[a:b])
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = END, segment_ids: int = SEGMENT_IDS, cache: int = CACHE) -> None:
@@ -203,6 +261,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = END, s
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         encoder, stop = Encoder(tokenizer, width, cache), end_id.to_bytes(width, "little")
         part, number = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
@@ -214,8 +273,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = END, s
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([number], pa.int32()), "n_ids": [total], "image": pa.array([raw], pa.binary())})
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids.append(encoder.encode(text.as_py()) + stop)
+            for name, got in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
+                ids.append(got + stop)
                 total += len(ids[-1]) // width
                 names.append(name)
                 ends.append(total)

@@ -1,9 +1,11 @@
 import hashlib
+import json
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +165,58 @@ def test_tokens_round_trip(spark, tmp_path):
     assert token_file.read_tokens(spark, str(tmp_path / "e")).collect() == []
 
 
+def test_tokens_of_many_words_at_a_time(monkeypatch):
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.calls = tokenizer, 0
+
+        def encode(self, *args, **kwargs):
+            self.calls += 1
+            return self.tokenizer.encode(*args, **kwargs)
+
+        def encode_batch_fast(self, *args, **kwargs):
+            self.calls += 1
+            return self.tokenizer.encode_batch_fast(*args, **kwargs)
+
+    whole = Tokenizer.from_file(token_file.default_tokenizer())
+    rng = random.Random(12)
+    made = ["".join(rng.choices(token_file.PLAIN, k=rng.randint(1, 12))) for _ in range(9000)]
+    texts = [" ".join(w.title() + rng.choice(["", "", ",", ".", "!?", '"']) for w in made[i : i + 900]) for i in range(0, 9000, 450)]
+    encoder = token_file.Encoder(token_file.default_tokenizer(), 2)
+    everything, model = Counted(encoder.words.tokenizer), Counted(encoder.words.bare)
+    encoder.words.tokenizer, encoder.words.bare = everything, model
+    assert list(encoder.encode(pa.array(texts))) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert model.calls <= 3 and everything.calls < 100  # marks, and what title() makes of ß, go through everything
+    # few words kept, short slices, and white space of all kinds
+    monkeypatch.setattr(token_file, "SLICE", 2000)
+    monkeypatch.setattr(token_file, "WORDS", 7)
+    encoder = token_file.Encoder(token_file.default_tokenizer(), 4, 20)
+    texts += ["", " ", f"é{chr(0x301)} x"] + [f"a{chr(c)}b {chr(c)}" for c in range(0x110000) if chr(c).isspace() or (c % 997 == 0 and not 0xD800 <= c < 0xE000)]
+    assert list(encoder.encode(pa.array(texts))) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("change", ["none", "case", "space", "suffix"])
+def test_tokens_of_other_tokenizers(tmp_path, change):
+    from tokenizers import Tokenizer
+
+    steps = json.load(open(token_file.default_tokenizer()))
+    if change == "case":
+        steps["normalizer"]["normalizers"].pop()
+    elif change == "space":
+        steps["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    elif change == "suffix":
+        steps["model"] = {"type": "WordLevel", "vocab": {"the": 0, ".": 1, "?": 2}, "unk_token": "?"}
+    path = str(tmp_path / "t.json")
+    json.dump(steps, open(path, "w"))
+    whole, encoder = Tokenizer.from_file(path), token_file.Encoder(path, 4)
+    texts = ["The the. THE  street (Straße), étude", "", "9 lives' it's"]
+    for some in (texts, []):
+        assert list(encoder.encode(pa.array(some, pa.string()))) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    assert bool(encoder.words.bytes_of) == (change == "none")
+
+
 @pytest.mark.parametrize("values", [[0], [0, 0, 0], [5, 5, 7, 100, 100000], list(range(0, 3000, 3)), [1 << 31]])
 def test_elias_fano(values):
     ef = token_file.EliasFano.of(np.array(values))
