@@ -105,6 +105,48 @@ def test_fuzzy_candidates_against_all_pairs(spark):
     assert want and {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()}
 
 
+def test_near_keys_of_all_that_score():
+    import random
+
+    rng, found = random.Random(3), 0
+    for _ in range(3000):
+        least, letters = rng.choice([67, 80, 85, 90, 95, 97.5, 50]), rng.choice(["AB", "ABCDEFGH01234567", "ABCD 1"])
+        a = rng.choices(letters, k=rng.choice([rng.randrange(1, 15), rng.randrange(15, 60), rng.randrange(60, 90)]))
+        b = list(a)
+        for _ in range(rng.randrange(int(len(a) * (100 - least) / 50) + 2)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(2))
+        a, b = (fuzzy.words("".join(x)) for x in (a, b))
+        if evidence.token_set_ratio(a, b) >= least:
+            found += 1
+            assert set(fuzzy.near_keys(a, least, True)) & set(fuzzy.near_keys(b, least, False)), (least, a, b)
+    assert found > 1500
+
+
+@pytest.mark.parametrize("welder", [90, 80, 60])
+def test_fuzzy_candidates_of_long_welders(spark, welder):
+    import random
+
+    rng = random.Random(welder)
+    full = ["".join(rng.choices("ABCDEFGHJK0123456789", k=n)) for n in (14, 17, 20, 26, 33, 48)] + ["WELDER 12", "\t"]
+    other = lambda s: "".join(c.lower() * (rng.random() > 0.06) + "x" * (rng.random() < 0.06) for c in s)
+    items = [(i, f"FW{rng.randrange(3)}", rng.choice(["PT", "VT", "PT VT"]), rng.choice(full)) for i in range(60)]
+    items += [(100, "FW1", "VT", "AAAABBBBCCCCDDDDEEEE"), (101, "FW1", "Visual test", "DW1")]
+    reports = [(i, rng.choice(["PT", "VT"]), [(f"FW{rng.randrange(3)}", other(rng.choice(full)))]) for i in range(60)]
+    reports += [(100, "VT", [("FW1", "AAABBBBCCCDDDDEEEE")]), (101, "Visual", [("FW1", "DW1")])]
+    one = spark.createDataFrame(items, "item_id int, joint_no string, ndt_method string, welder_id string")
+    two = spark.createDataFrame(reports, "report_id int, ndt_method string, joints array<struct<joint_no:string,welder_id:string>>")
+    least = fuzzy.THRESHOLDS | {"welder_id": welder}
+    got = {(r.item_id, r.report_id): round(r.score, 6) for r in fuzzy.candidates(one, two, least, most=1000).collect()}
+    want = {}
+    for i, *asked in items:
+        for j, kind, [(joint, name)] in reports:
+            scores = [evidence.token_set_ratio(a.upper(), b.upper()) for a, b in zip(asked, (joint, kind, name), strict=True)]
+            if all(s >= t for s, t in zip(scores, least.values(), strict=True)):
+                want[i, j] = round(sum(scores) / 3, 6)
+    assert (100, 100) in want and (101, 101) in want and got == want
+
+
 def test_settings():
     found = config.settings(None, {"TALLYFORGE_MATCHING__JUDGE_GAP": "5", "TALLYFORGE_DEFAULT_PROVIDER": "big", "OTHER": "1"})
     assert found["matching"]["judge_gap"] == 5 and found["matching"]["hold_gap"] == 5
